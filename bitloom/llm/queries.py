@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bitloom.llm import near_dedup
+from bitloom.llm import decontaminate, near_dedup, syncmers
 from bitloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.cluster(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op10_near_dedup,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_decontaminate, op8_syncmers, op10_near_dedup)}
 ORACLES: dict[str, str] = {}
