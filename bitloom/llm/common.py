@@ -36,6 +36,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Buckets of likely(): a broadcast of so many longs at most (8 MB).
+BUCKETS = 1 << 20
+
+
+def likely(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Most rows of df whose `column` isn't among `wanted` dropped, before a join that needs the rest shuffled.
+
+    Keeps every row whose hash bucket holds a wanted value. What is broadcast is a set of at most BUCKETS bucket
+    numbers, however many values are wanted; with very many it keeps all rows, which costs time but no result.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    buckets = wanted.select(bucket(F.col(wanted.columns[0])).alias("_bucket")).distinct()
+    return df.withColumn("_bucket", bucket(F.col(column))).join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

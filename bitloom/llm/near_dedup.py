@@ -6,7 +6,7 @@
    some chunk has at most one error (pigeonhole). Each chunk is posted under its 6 allowed errors (one symbol
    masked), so all such pairs meet in a bucket. Of pairs with similarity 0.85 a share below 1e-5 has two
    errors or more in every chunk.
-3. Buckets: members are compared on whole signatures, in blocks of 512 so that no task gets a whole hot bucket, and
+3. Buckets: members are compared on whole signatures, in blocks of 256 so that no task gets a whole hot bucket, and
    only a spanning forest of the pairs within `far` symbols goes on: never all pairs.
 4. Confirm: each candidate cluster's shingle sets are intersected exactly, again in blocks, as a product of
    0/1 matrices, and a spanning forest of the true links goes on. Components of those are the result.
@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import components, forest, stored, whole_groups
+from bitloom.llm.common import components, forest, likely, stored, whole_groups
 from bitloom.llm.rolling import Roller, Words, batches, mix, stream
 
 SHINGLE = 5
 SYMBOLS, CHUNK = 48, 6
 #: Signature distance within which a pair is confirmed on full sets; at similarity 0.85 a farther pair is one in 10**5.
 FAR = 19
-BLOCK = 512
+BLOCK = 256
 U = np.uint64
 
 
@@ -186,7 +186,7 @@ def cluster(docs: DataFrame, percent: int = 85) -> DataFrame:
     near = dealt(pairs.select("key", "x", "y", "block", "id", "sig"), "key").mapInArrow(bucket_edges, "a long, b long")
     clusters = stored(components(near).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(sized, "id").dropDuplicates(["id"])
+    texts = likely(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", clusters.select("id")).join(sized, "id").dropDuplicates(["id"])
     links = dealt(block_pairs(texts, "cluster", "members").select("cluster", "x", "y", "block", "id", "text"), "cluster").mapInArrow(confirmed(percent), "a long, b long")
     found = components(links)
     whole = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set1", "set2", F.coalesce("component", "rep").alias("c"))
