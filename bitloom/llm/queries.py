@@ -5,17 +5,37 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bitloom.llm import decontaminate, near_dedup, quality, syncmers, token_counts, toxicity
+from bitloom.llm import decontaminate, mixing, near_dedup, pii, quality, sharding, syncmers, token_counts, toxicity
 from bitloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The documents' present layout: so many shards, each source wholly in one.
+OLD_SHARDS, NEW_SHARDS = 12, 8
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    old = F.pmod(F.crc32(F.encode("source", "UTF-8")), F.lit(OLD_SHARDS))
+    planned = sharding.plan(docs, old, NEW_SHARDS)
+    return planned.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,5 +58,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.cluster(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_toxicity, op6_token_counts, op7_decontaminate, op8_syncmers, op9_quality, op10_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_pii, op4_toxicity, op5_mixing, op6_token_counts, op7_decontaminate, op8_syncmers, op9_quality, op10_near_dedup)}
 ORACLES: dict[str, str] = {}
