@@ -51,6 +51,16 @@ def likely(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     return df.withColumn("_bucket", bucket(F.col(column))).join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")
 
 
+def without(df: DataFrame, column: str, unwanted: DataFrame) -> DataFrame:
+    """Rows of df whose `column` is not among `unwanted` (nulls stay); only those in a bucket with an unwanted value are shuffled."""
+    bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS))
+    ids = unwanted.select(F.col(unwanted.columns[0]).alias(column)).distinct()
+    buckets = ids.select(bucket.alias("_bucket")).distinct()
+    tagged = df.withColumn("_bucket", bucket)
+    free = tagged.join(F.broadcast(buckets), "_bucket", "left_anti").drop("_bucket")
+    return free.unionByName(likely(df, column, ids).join(ids, column, "left_anti").select(*df.columns))
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import stored
+from bitloom.llm.common import stored, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words, once A-Z are lower-cased: all ASCII but digits and letters.
@@ -114,3 +114,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     out = contamination(docs, items)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs without any word hit; of rows that share a doc_id all go if one is hit. Null ids stay."""
+    hit = stored(contamination(docs, items).where("contaminated and doc_id is not null").select("doc_id"), "hit")
+    return without(docs, "doc_id", hit)

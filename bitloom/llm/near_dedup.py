@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import components, forest, likely, stored, whole_groups
+from bitloom.llm.common import components, forest, likely, stored, whole_groups, without
 from bitloom.llm.rolling import Roller, Words, batches, mix, stream
 
 SHINGLE = 5
@@ -193,3 +193,9 @@ def cluster(docs: DataFrame, percent: int = 85) -> DataFrame:
     out = sk.select("doc_id", "n_shingles", "set1", "set2").join(whole, ["set1", "set2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of docs that stay when each group of near copies keeps its least doc_id; rows with a null doc_id stay."""
+    dropped = stored(cluster(docs, percent).where("not kept").select("doc_id"), "dropped")
+    return without(docs, "doc_id", dropped)

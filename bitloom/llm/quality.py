@@ -155,10 +155,10 @@ def train(sample: pd.DataFrame, seed: int = 0) -> Model:
     return Model((vector @ difference).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `score`, in one pass over whole texts."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column `name` of scores, in one pass over whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.withColumn("score", F.lit(0.0)).schema
+    schema = docs.withColumn(name, F.lit(0.0)).schema
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller(2)
@@ -174,6 +174,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return train(labelled(docs, labels, "quality"))
 
 
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs whose score is KEEP or more, with docs' own columns; a column `score` of docs is left alone."""
+    name = "score_"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, learn(docs, labels), name).where(F.col(name) >= KEEP).drop(name)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs (doc_id, text).
 

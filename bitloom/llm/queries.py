@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitloom.llm import decontaminate, mixing, near_dedup, pii, quality, sharding, syncmers, token_counts, toxicity
+from bitloom.llm import decontaminate, mixing, near_dedup, pii, quality, sharding, substring_dedup, syncmers, token_counts, toxicity
 from bitloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,5 +62,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.cluster(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_pii, op4_toxicity, op5_mixing, op6_token_counts, op7_decontaminate, op8_syncmers, op9_quality, op10_near_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_pii, op3_substring_dedup, op4_toxicity, op5_mixing, op6_token_counts, op7_decontaminate, op8_syncmers, op9_quality, op10_near_dedup)}
 ORACLES: dict[str, str] = {}
