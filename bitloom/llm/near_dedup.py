@@ -1,11 +1,11 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-1. Sketch: a document's distinct 5-word shingles give a signature of 48 minimum hashes cut to 16 bits each.
+1. Sketch: a document's distinct 5-word shingles give a signature of 60 minimum hashes cut to 16 bits each.
    Documents with equal shingle sets are one node from here on.
-2. Multi-index: the signature is split into 8 chunks of 6 symbols. If two signatures differ in at most 15 symbols,
+2. Multi-index: the signature is split into 10 chunks of 6 symbols. If two signatures differ in at most 19 symbols,
    some chunk has at most one error (pigeonhole). Each chunk is posted under its 6 allowed errors (one symbol
-   masked), so all such pairs meet in a bucket. Of pairs with similarity 0.85 a share below 1e-5 has two
-   errors or more in every chunk.
+   masked), so all such pairs meet in a bucket. With two errors or more in every chunk, and so missed, are one in
+   10**6 of the pairs of similarity 0.85, and one in 40,000 at 0.8.
 3. Buckets: members are compared on whole signatures, in blocks of 256 so that no task gets a whole hot bucket, and
    only a spanning forest of the pairs within `far` symbols goes on: never all pairs.
 4. Confirm: each candidate cluster's shingle sets are intersected exactly, again in blocks, as a product of
@@ -25,9 +25,9 @@ from bitloom.llm.common import components, forest, likely, stored, whole_groups,
 from bitloom.llm.rolling import Roller, Words, batches, mix, stream
 
 SHINGLE = 5
-SYMBOLS, CHUNK = 48, 6
-#: Signature distance within which a pair is confirmed on full sets; at similarity 0.85 a farther pair is one in 10**5.
-FAR = 19
+SYMBOLS, CHUNK = 60, 6
+#: Signature distance within which a pair is confirmed on full sets; at similarity 0.8 a farther pair is one in 10**6.
+FAR = 27
 BLOCK = 256
 U = np.uint64
 
