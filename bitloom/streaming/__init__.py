@@ -1,0 +1 @@
+"""Chunk statistics over streams."""
