@@ -40,24 +40,35 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 BUCKETS = 1 << 20
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _bucket(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS))
+
+
 def likely(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     """Most rows of df whose `column` isn't among `wanted` dropped, before a join that needs the rest shuffled.
 
     Keeps every row whose hash bucket holds a wanted value. What is broadcast is a set of at most BUCKETS bucket
     numbers, however many values are wanted; with very many it keeps all rows, which costs time but no result.
     """
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    buckets = wanted.select(bucket(F.col(wanted.columns[0])).alias("_bucket")).distinct()
-    return df.withColumn("_bucket", bucket(F.col(column))).join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")
+    name = fresh(df, "bucket")
+    buckets = wanted.select(_bucket(wanted.columns[0]).alias(name)).distinct()
+    return df.withColumn(name, _bucket(column)).join(F.broadcast(buckets), name, "left_semi").drop(name)
 
 
 def without(df: DataFrame, column: str, unwanted: DataFrame) -> DataFrame:
     """Rows of df whose `column` is not among `unwanted` (nulls stay); only those in a bucket with an unwanted value are shuffled."""
-    bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS))
+    name = fresh(df, "bucket")
     ids = unwanted.select(F.col(unwanted.columns[0]).alias(column)).distinct()
-    buckets = ids.select(bucket.alias("_bucket")).distinct()
-    tagged = df.withColumn("_bucket", bucket)
-    free = tagged.join(F.broadcast(buckets), "_bucket", "left_anti").drop("_bucket")
+    buckets = ids.select(_bucket(column).alias(name)).distinct()
+    free = df.withColumn(name, _bucket(column)).join(F.broadcast(buckets), name, "left_anti").drop(name)
     return free.unionByName(likely(df, column, ids).join(ids, column, "left_anti").select(*df.columns))
 
 

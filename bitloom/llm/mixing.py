@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import SPACE, stored
+from bitloom.llm.common import SPACE, fresh, stored
 
 WEIGHTS = (5, 2, 1)
 #: A source is repeated at most so often.
@@ -109,7 +109,7 @@ def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
     Rows of the same doc_id are counted together; a null doc_id is an id like others.
     """
     key = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    taken = mix(docs, seed).groupBy(key(F.col("doc_id")).alias("_id")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_times"))
-    taken = taken.withColumn("_times", F.round("_times").cast("int")).where("_times > 0")
-    out = docs.withColumn("_id", key(F.col("doc_id"))).join(taken, "_id")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    id_, times, copy = (fresh(docs, n) for n in ("id_", "times", "copy"))
+    taken = mix(docs, seed).groupBy(key(F.col("doc_id")).alias(id_)).agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias(times))
+    out = docs.withColumn(id_, key(F.col("doc_id"))).join(taken.where(F.col(times) > 0), id_)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

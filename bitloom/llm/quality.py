@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import held_out
+from bitloom.llm.common import fresh, held_out
 from bitloom.llm.near_dedup import encoded
 from bitloom.llm.rolling import Roller, Words, batches
 from bitloom.llm.sampling import labelled
@@ -176,9 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose score is KEEP or more, with docs' own columns; a column `score` of docs is left alone."""
-    name = "score_"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "score")
     return scored(docs, learn(docs, labels), name).where(F.col(name) >= KEEP).drop(name)
 
 

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import stored
+from bitloom.llm.common import fresh, stored
 
 #: Blocks of each old shard: with the shards they bound what the driver sees and what is broadcast.
 BLOCKS = 256
@@ -154,12 +154,13 @@ def rewrite(docs: DataFrame, path: str) -> DataFrame:
 
 def reshard(docs: DataFrame, old: Column, shards: int) -> DataFrame:
     """docs with size, text_crc32, old, shard and slot (in place of columns of those names), copies of a row kept apart."""
-    keep = [c for c in docs.columns if c not in ("size", "text_crc32", "old", "shard", "slot", "_nth")]
-    docs = docs.select(*keep)
-    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    same = Window.partitionBy("doc_id").orderBy(crc)
-    numbered = docs.withColumn("_nth", F.row_number().over(same))
+    mine = ("size", "text_crc32", "old", "shard", "slot")
     placed = plan(docs, old, shards)
-    placed = placed.withColumn("_mth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text_crc32"))).withColumnRenamed("doc_id", "_doc")
-    out = numbered.join(placed, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.abs(F.col("_nth") - F.col("_mth")) < 1))
-    return out.select(*keep, "size", "text_crc32", "old", "shard", "slot")
+    docs = docs.drop(*mine)
+    nth, mth, id_ = (fresh(docs, n) for n in ("nth", "mth", "id_"))
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    numbered = docs.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(crc)))
+    placed = placed.withColumn(mth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text_crc32"))).withColumnRenamed("doc_id", id_)
+    # rows of one doc_id are told apart by their numbers; as no equality, so that the join keeps the windows' partitioning
+    out = numbered.join(placed, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.abs(F.col(nth) - F.col(mth)) < 1))
+    return out.select(*docs.columns, *mine)

@@ -1,0 +1,286 @@
+"""Operators with one right answer, against brute force on a small table of awkward rows."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from bitloom.llm import decontaminate, mixing, near_dedup, pii, sharding, substring_dedup, syncmers, token_counts
+
+from .conftest import prose, texts
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+TERMS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def low(t: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def sha(t: str) -> str:
+    return hashlib.sha256(t.encode()).hexdigest()
+
+
+def table(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_substring_dedup(docs, empty):
+    rows = texts()
+    first: dict[tuple, int] = {}
+    for i, t in rows:
+        w = WORDS.findall(t or "")
+        for a in range(len(w) - 49) if i is not None else ():
+            k = tuple(w[a : a + 50])
+            first[k] = min(first.get(k, i), i)
+    want = Counter()
+    for i, t in rows:
+        w, gone = WORDS.findall(t or ""), set()
+        for a in range(len(w) - 49) if i is not None else ():
+            if first[tuple(w[a : a + 50])] < i:
+                gone |= set(range(a, a + 50))
+        want[i, len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone))] += 1
+    assert table(substring_dedup.dedup(docs)) == want
+    assert substring_dedup.dedup(empty).count() == 0
+
+
+def test_index_batches_and_compaction(spark):
+    index = substring_dedup.FingerprintIndex(spark, buckets=2)
+    batch = lambda *pairs: spark.createDataFrame(pairs, "mark long, doc long")
+    met = [{r.mark for r in index.add(b).collect()} for b in (batch((1, 1), (2, 1), (2, 2)), batch((1, 3), (4, 3)), batch((4, 4), (5, 4)), batch((5, 5), (6, 5), (1, 5)))]
+    assert met == [{2}, {1}, {4}, {5, 1}]
+    assert sorted(level for level, _ in index.runs) == [0, 1]
+    index.close()
+    again = substring_dedup.FingerprintIndex(spark, index.runs, buckets=2)
+    assert {r.mark for r in again.add(batch((6, 9), (2, 9), (7, 9))).collect()} == {6, 2}
+    again.close()
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_dedup(docs, empty, percent):
+    rows = texts()
+    sets: dict[int, list[frozenset]] = defaultdict(list)
+    size = []
+    for i, t in rows:
+        w = WORDS.findall(low(t or ""))
+        s = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        size.append(len(s))
+        if i is not None:
+            sets[i].append(s)
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    got = table(near_dedup.cluster(docs, percent))
+    assert got == Counter((i, n, root(i) if i is not None else None, i is None or root(i) == i) for (i, _), n in zip(rows, size, strict=True))
+    assert near_dedup.cluster(empty).count() == 0
+    kept = near_dedup.deduplicated(docs, percent)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, _ in rows if i is None or root(i) == i)
+
+
+def test_near_dedup_large_group(spark):
+    """A group of more members than a block, where only a chain of links joins all."""
+    base = prose(40, 120).split()
+    rows = []
+    for k in range(600):
+        w = list(base)
+        w[k % 120] = f"edit{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(1000 + k, prose(100 + k, 90)) for k in range(50)]
+    got = near_dedup.cluster(spark.createDataFrame(rows, "doc_id long, text string")).where("kept").collect()
+    assert {r.doc_id for r in got} == {0, *range(1000, 1050)}
+
+
+def test_decontamination(spark, docs, empty, monkeypatch):
+    passage = prose(2, 60)
+    items = [(1, passage), (2, prose(3, 49).upper()), (3, "one two three"), (4, None), (5, "..."), (6, "absent words of ten or more that are nowhere in the corpus"), (7, prose(3, 49)), (None, passage)]
+    bench = spark.createDataFrame([(*x, "more") for x in items], "item_id long, text string, t string")
+    wins: dict[tuple, set[str]] = defaultdict(set)
+    for i, t in items:
+        w = TERMS.findall(low(t or ""))
+        for a in range(max(1, len(w) - 9)) if w and i is not None else ():
+            wins[tuple(w[a : a + 10])].add(str(i))
+    want = Counter()
+    for i, t in texts():
+        w, hit, found = TERMS.findall(low(t or "")), set(), set()
+        for size in {len(x) for x in wins}:
+            for a in range(len(w) - size + 1):
+                if (m := wins.get(tuple(w[a : a + size]))) is not None:
+                    hit |= set(range(a, a + size))
+                    found |= m
+        want[i, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)] += 1
+    assert table(decontaminate.report(docs, bench)) == want
+    assert decontaminate.report(empty, bench).count() == 0
+    assert not decontaminate.report(docs, bench.limit(0)).where("contaminated").count()
+    left = decontaminate.clean(docs, bench)
+    assert left.columns == docs.columns and Counter(r.doc_id for r in left.collect()) == Counter(i for (i, *_, bad), n in want.items() if not bad or i is None for _ in range(n))
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    assert table(decontaminate.report(docs, bench)) == want
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "gamma beta alpha"), (3, "alpha beta"), (4, "alpha " + "x " * 9 + "beta gamma")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    near = decontaminate.occurrences(docs, items, slop=3).where("len > 0")
+    assert {r.doc_id for r in near.collect()} == {1, 2}
+
+
+def test_syncmers(docs, empty):
+    rows = sorted(texts(), key=lambda r: r[1] or "", reverse=True)
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    want = Counter()
+    for k, (i, t) in enumerate(rows):
+        t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
+        half = len(t) // 2
+        want[i, len(t), sha(t[: len(t) - half] + after[:half])] += 1
+    out = syncmers.fingerprints(docs)
+    got = out.collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    by_id = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert by_id[3].fingerprint == by_id[5].fingerprint != by_id[20].fingerprint
+    assert by_id[20].near_edited > 0.2 and by_id[20].near_next < 0.05
+    assert syncmers.fingerprints(empty).count() == 0
+
+
+def test_syncmers_are_context_free(spark):
+    passage = prose(50, 80)
+    docs = spark.createDataFrame([(1, passage), (2, prose(51, 33) + " " + passage + " " + prose(52, 20))], "doc_id long, text string")
+    at = {i: {r.hash: r.pos for r in syncmers.anchors(docs).where(F.col("doc_id") == i).collect()} for i in (1, 2)}
+    assert len(at[1]) > 20 and {at[2][h] - p for h, p in at[1].items()} == {33}
+
+
+EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def by_pattern(t: str) -> dict:
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    return {
+        "email": [m.span() for m in EMAIL.finditer(t)], "ip": [m.span() for m in IP.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))],
+        "card": [m.span() for m in CARD.finditer(t) if 13 <= len(digits(m)) <= 19 and pii.luhn(digits(m))], "phone": [m.span() for m in PHONE.finditer(t) if 9 <= len(digits(m)) <= 15],
+    }
+
+
+def test_pii(docs, empty):
+    got = Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.detect(docs).collect())
+    want = Counter()
+    for i, t in texts():
+        f = by_pattern(t or "")
+        want[i, *(len(f[k]) for k in pii.KINDS[:4]), sha(",".join(f"{k}:{s}:{e}" for k in f for s, e in f[k]))] += 1
+    assert got == want
+    assert pii.detect(empty).count() == 0
+    masked = pii.mask(docs).where("doc_id = 18").first().text
+    assert masked == "mail [email] now, [phone], [ip], [card]"
+
+
+def test_pii_random_strings():
+    import random
+
+    machine, r = pii.automaton(), random.Random(5)
+    for _ in range(5000):
+        signs = r.choice(["a@.b-", "1.2@a", "12 -.", "+1 ()-.2", "0123456789 -", "a1@.+ -"])
+        t = "".join(r.choice(signs) for _ in range(r.randrange(60)))
+        found = pii.find(t, machine)
+        assert {k: found[k] for k in pii.KINDS[:4]} == by_pattern(t), t
+
+
+def test_pii_more_kinds():
+    machine = pii.automaton()
+    text = "See https://a.example.org/x?y=1. Account no: 12345678 and IBAN DE89370400440532013000"
+    found = pii.find(text, machine)
+    assert [text[s:e] for s, e in found["url"]] == ["https://a.example.org/x?y=1"]
+    assert [text[s:e] for s, e in found["account"]] == ["12345678", "DE89370400440532013000"]
+
+
+def test_token_counts(docs, empty):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = Counter((i, len((t or "").encode()), len(model.encode(t or "")), len(model.encode(t or "")) > 4096) for i, t in texts())
+    assert table(token_counts.counted(docs, path)) == want
+    assert token_counts.counted(empty, path).count() == 0
+
+
+def test_splice_is_exact():
+    import random
+
+    model, r = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")), random.Random(6)
+    for _ in range(60):
+        signs = r.choice(["ab ", "a  b", "\n a▁é", "abc", "  ", " 日本x"])
+        t = "".join(r.choice(signs) for _ in range(r.randrange(900)))
+        t += r.choice(["", "z" * 300, " " * 300]) + t
+        for chunk, overlap in ((64, 16), (100, 32), (40, 8)):
+            assert token_counts.splice(model, t, chunk, overlap) == len(model.encode(t))
+
+
+def test_sharding(docs, empty):
+    old = F.when(F.col("source").isNotNull(), F.pmod(F.crc32(F.encode("source", "UTF-8")), F.lit(5)))
+    got = sharding.plan(docs, old, 3).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts())
+    by: dict[int, list] = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r)
+    assert all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in by.values())
+    sizes, most = [sum(r.size for r in rows) for rows in by.values()], max(r.size for r in got)
+    assert max(sizes) - min(sizes) <= 2 * most
+    assert sharding.plan(empty, old, 3).count() == 0
+    out = sharding.reshard(docs, old, 3)
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(texts())
+
+
+def test_cheapest_flow():
+    import itertools
+    import random
+
+    r = random.Random(7)
+    for _ in range(40):
+        supply, cost = [r.randrange(4) for _ in range(3)], [[r.randrange(4) for _ in range(3)] for _ in range(3)]
+        demand = sharding.capacities(sum(supply), 3)
+        flow = sharding.cheapest_flow(supply, demand, cost)
+        assert [sum(f) for f in flow] == supply and [sum(c) for c in zip(*flow, strict=True)] == demand
+        units = [i for i, n in enumerate(supply) for _ in range(n)]
+        slots = [j for j, n in enumerate(demand) for _ in range(n)]
+        best = min(sum(cost[i][j] for i, j in zip(units, p, strict=True)) for p in set(itertools.permutations(slots))) if len(units) < 8 else None
+        assert best is None or best == sum(f * c for a, b in zip(flow, cost, strict=True) for f, c in zip(a, b, strict=True))
+
+
+def test_mixing(docs, empty):
+    got = mixing.mix(docs).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len(WORDS.findall(t or ""))) for i, t in texts())
+    of: dict[str | None, list] = defaultdict(list)
+    for r in got:
+        of[r.source].append(r)
+    names = sorted(of, key=lambda s: (s is None, s or ""))
+    sizes = [sum(r.size for r in of[s]) for s in names]
+    goal = mixing.targets(sizes, [(5, 2, 1)[k % 3] for k in range(len(names))], sum(sizes))
+    assert sum(goal) == pytest.approx(sum(sizes))
+    for s, n, g in zip(names, sizes, goal, strict=True):
+        assert {r.source_size for r in of[s]} == {n} and of[s][0].target == pytest.approx(g) and g <= 3 * n + 1e-6
+        assert abs(sum(r.taken for r in of[s]) - g) <= 2
+    assert all(0 <= r.taken <= 3 * r.size for r in got)
+    assert table(mixing.mix(docs)) == Counter(tuple(r) for r in got)
+    assert mixing.mix(empty).count() == 0
+    assert mixing.mixed(docs).columns == docs.columns
+
+
+def test_apportionment():
+    # the textbook case, and quotients dealt one by one
+    assert mixing.apportion([53000, 24000, 23000], 7, [9, 9, 9]) == [3, 2, 2]
+    assert mixing.apportion([10, 1], 5, [2, 9]) == [2, 3]
+    assert mixing.targets([10, 100, 100], [5, 2, 1], 210) == [30.0, 120.0, 60.0]
