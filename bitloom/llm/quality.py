@@ -52,35 +52,33 @@ def hashed(parts: list[np.ndarray], family: int) -> np.ndarray:
     return h >> np.uint32(32 - BITS)
 
 
-def features(texts: list[bytes], roller: Roller) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each family: buckets, and where each text's begin (one more at the end). Texts are those of one batch."""
+def features(texts: list[bytes], roller: Roller) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each family: buckets, and where each text's begin and end. Texts are those of one batch; no feature reaches
+    beyond its text and the space behind it."""
     w = Words(texts)
     data, n = w.data.astype(np.uint32), len(w.data)
     has = w.counts > 0
-    begin = np.zeros(len(texts) + 1, np.int64)
-    begin[-1] = n
-    if has.any():
-        begin[:-1][has] = w.starts[w.first[has]]
-    # a text without words begins where the next one does
-    begin = np.minimum.accumulate(np.where(np.append(has, True), begin, n)[::-1])[::-1]
+    begin, end = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    begin[has] = w.starts[w.first[has]]
+    end[has] = w.ends[(w.first + w.counts)[has] - 1] + 1
     shape = CLASS[w.data]
     for family, x, size in ((1, data, 3), (2, data, 4), (3, shape, 3)):
         if n >= size:
-            yield hashed([x[i : n - size + 1 + i] for i in range(size)], family), np.minimum(begin, n - size + 1)
+            yield hashed([x[i : n - size + 1 + i] for i in range(size)], family), begin, np.maximum(begin, end - size + 1)
     word = np.zeros(0, np.uint64)
     if len(w.starts):
         word = roller.ranges(roller.prefix(w.data), w.starts, w.ends)
-    first = np.append(w.first, len(word))
-    yield (word >> np.uint64(64 - BITS)).astype(np.uint32), first
-    same = np.zeros(len(word), np.uint32)
+    first, last = w.first, w.first + w.counts
+    yield (word >> np.uint64(64 - BITS)).astype(np.uint32), first, last
+    same, nth = np.zeros(len(word), np.uint32), np.arange(len(word)) - np.repeat(first, w.counts)
     for back in (1, 2, 3):
-        same[back:] |= (word[back:] == word[: len(word) - back]).astype(np.uint32) << np.uint32(back)
-    yield hashed([same], 5), first
+        same[back:] |= ((word[back:] == word[: len(word) - back]) & (nth[back:] >= back)).astype(np.uint32) << np.uint32(back)
+    yield hashed([same], 5), first, last
 
 
-def sums(value: np.ndarray, begin: np.ndarray) -> np.ndarray:
+def sums(value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
-    return total[begin[1:]] - total[begin[:-1]]
+    return total[end] - total[begin]
 
 
 @dataclass
@@ -91,9 +89,9 @@ class Model:
     def scores(self, texts: list[bytes], roller: Roller) -> np.ndarray:
         """Probability of label 1; each family of features has the same share of the mean."""
         total = np.zeros(len(texts))
-        for bucket, begin in features(texts, roller):
-            total += sums(self.weight[bucket], begin) / np.maximum(np.diff(begin), 1)
-        return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
+        for bucket, begin, end in features(texts, roller):
+            total += sums(self.weight[bucket], begin, end) / np.maximum(end - begin, 1)
+        return np.round(1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30))), 9)
 
 
 def bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -101,9 +99,9 @@ def bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     roller, out = Roller(2), []
     for t in texts:
         bag = np.zeros(BUCKETS, np.float32)
-        for bucket, begin in features([t], roller):
-            if n := int(begin[-1] - begin[0]):
-                bag += np.bincount(bucket[begin[0] : begin[-1]], minlength=BUCKETS).astype(np.float32) / n
+        for bucket, (begin,), (end,) in features([t], roller):
+            if n := int(end - begin):
+                bag += np.bincount(bucket[begin:end], minlength=BUCKETS).astype(np.float32) / n
         at = np.flatnonzero(bag)
         out.append((at, bag[at]))
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bitloom.llm import decontaminate, mixing, near_dedup, pii, quality, sharding, substring_dedup, syncmers, token_counts, toxicity
 from bitloom.llm.common import table
+from bitloom.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,5 +63,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.cluster(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sharding, op2_pii, op3_substring_dedup, op4_toxicity, op5_mixing, op6_token_counts, op7_decontaminate, op8_syncmers, op9_quality, op10_near_dedup)}
-ORACLES: dict[str, str] = {}
