@@ -28,7 +28,8 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """Whole files; a directory gives its own files, by default without those of folders below it."""
+    """Whole files; a directory gives its own files, by default without those of folders below it. Spark's reader
+    passes over files of no bytes, which have no chunks either."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     return df.select(F.col("path").alias("source_id"), F.col("content").alias("data"))
 
