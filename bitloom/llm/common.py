@@ -116,21 +116,24 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield done, offsets
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
-    """The pairs (left[i], right[i]) of range(n) that join two trees so far apart: at most n - 1."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+class Forest:
+    """Trees that grow by links; a link within a tree adds nothing."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
         return x
 
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            yield a, b
+    def joins(self, a: int, b: int) -> bool:
+        """Link a and b; whether they stood in two trees."""
+        x, y = self.root(a), self.root(b)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
 
 
 def components(links: DataFrame) -> DataFrame:

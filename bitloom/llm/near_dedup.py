@@ -7,7 +7,7 @@
    masked), so all such pairs meet in a bucket. With two errors or more in every chunk, and so missed, are one in
    10**6 of the pairs of similarity 0.85, and one in 40,000 at 0.8.
 3. Buckets: members are compared on whole signatures, in blocks of 256 so that no task gets a whole hot bucket, and
-   only a spanning forest of the pairs within `far` symbols goes on: never all pairs.
+   only a spanning forest of a task's pairs within FAR symbols goes on: never all pairs.
 4. Confirm: each candidate cluster's shingle sets are intersected exactly, again in blocks, as a product of
    0/1 matrices, and a spanning forest of the true links goes on. Components of those are the result.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import components, forest, likely, stored, whole_groups, without
+from bitloom.llm.common import Forest, components, likely, stored, whole_groups, without
 from bitloom.llm.rolling import Roller, Words, batches, mix, stream
 
 SHINGLE = 5
@@ -89,26 +89,23 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def bucket_edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket's block pair: a spanning forest of the pairs within FAR."""
+    """Of all block pairs of buckets in a task: a spanning forest of the pairs within FAR, so fewer than it has ids."""
+    trees = Forest()
     for t, offsets in whole_groups(it, ["key", "x", "y"]):
         ids, block = t.column("id").to_numpy(), t.column("block").to_numpy()
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
         x, y = t.column("x").to_numpy(), t.column("y").to_numpy()
-        found = set()
+        found = []
         sizes = np.diff(offsets)
         two = offsets[:-1][sizes == 2]
         near = two[((sig[two] != sig[two + 1]).sum(axis=1) <= FAR)]
-        found.update(zip(ids[near].tolist(), ids[near + 1].tolist(), strict=True))
+        found += [p for p in zip(ids[near].tolist(), ids[near + 1].tolist(), strict=True) if trees.joins(*p)]
         for s, e in zip(offsets[:-1][sizes > 2].tolist(), offsets[1:][sizes > 2].tolist(), strict=True):
             one, other = np.flatnonzero(block[s:e] == x[s]), np.flatnonzero(block[s:e] == y[s])
-            left, right = [], []
             for i in one.tolist():
                 beyond = other[other > i] if x[s] == y[s] else other
                 hit = beyond[(sig[s:e][beyond] != sig[s + i]).sum(axis=1) <= FAR]
-                left.append(np.full(len(hit), i))
-                right.append(hit)
-            if left:
-                found.update((int(ids[s + a]), int(ids[s + b])) for a, b in forest(e - s, np.concatenate(left), np.concatenate(right)))
+                found += [p for p in ((int(ids[s + i]), j) for j in ids[s + hit].tolist()) if trees.joins(*p)]
         a, b = zip(*found, strict=True) if found else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -137,7 +134,7 @@ def true_links(sets: list[np.ndarray], one: np.ndarray, other: np.ndarray, perce
 
 def confirmed(percent: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller(5)
+        roller, trees = Roller(5), Forest()
         for t, offsets in whole_groups(it, ["cluster", "x", "y"]):
             a, b = [], []
             for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -148,9 +145,10 @@ def confirmed(percent: int):
                 one, other = np.flatnonzero(block == x), np.flatnonzero(block == y)
                 if len(one) and len(other):
                     left, right = true_links(sets, one, other, percent)
-                    for i, j in forest(e - s, left, right):
-                        a.append(ids[i])
-                        b.append(ids[j])
+                    for i, j in zip(left.tolist(), right.tolist(), strict=True):
+                        if trees.joins(ids[i], ids[j]):
+                            a.append(ids[i])
+                            b.append(ids[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
