@@ -149,3 +149,39 @@ def inspect_sizes(blobs: DataFrame) -> DataFrame:
         yield from ((*r, end) for r in rows)
 
     return _rows(blobs, ["source_id"], "depth int, bit int, flag_bytes long, ans_bytes long, terminal long", each)
+
+
+def backend_bench(blobs: DataFrame, bit: int | None = None) -> DataFrame:
+    """source_id, backend, bit, size, encoded, ok of the one-plane format with each coder of the rest, and the best."""
+
+    def each(data: bytes):
+        for rest in (None, *codecs.REST):
+            packed = codecs.single_encode(data, bit, rest)
+            yield rest or "auto", packed[0], len(data), len(packed), codecs.single_decode(packed) == data
+
+    return _rows(blobs, ["source_id"], "backend string, bit int, size long, encoded long, ok boolean", each)
+
+
+def bit_choices(blobs: DataFrame, cap: int = 0) -> DataFrame:
+    """source_id, sparsest, cheapest: the target bit by count and by encoded size."""
+    return _rows(blobs, ["source_id"], "sparsest int, cheapest int", lambda d: iter([(codecs.sparsest_bit(d), codecs.cheapest_bit(d, cap))] if d else []))
+
+
+def compressed_flags(blobs: DataFrame, bit: int) -> DataFrame:
+    """source_id, enc_bitset_gz, enc_delta_gz: gzip sizes of the bitset and the gap list; not tried up to 32 bytes."""
+
+    def each(data: bytes):
+        plane = (np.frombuffer(data, np.uint8) >> bit & 1).astype(np.uint8)
+        raw = codecs.bits_out(plane), codecs.gap_encode(plane)
+        yield tuple(len(codecs.gzip_encode(r)) if len(r) > 32 else len(r) for r in raw)
+
+    return _rows(blobs, ["source_id"], "enc_bitset_gz long, enc_delta_gz long", each)
+
+
+def run_log(blobs: DataFrame, mode: str = "auto") -> DataFrame:
+    """source_id, section, key, value: what an encoder run reports, as rows in place of a log file."""
+    packed = encoded(blobs, mode)
+    head = header(packed).join(packed.select("source_id", F.octet_length("container").alias("encoded")), "source_id")
+    pair = lambda section, key, value: F.struct(F.lit(section).alias("section"), F.lit(key).alias("key"), value.cast("string").alias("value"))
+    rows = F.array(pair("input", "size", F.col("size")), pair("input", "sha256", F.col("sha256")), pair("output", "mode", F.col("mode")), pair("output", "size", F.col("encoded")), pair("output", "ratio", F.round(F.try_divide("encoded", "size"), 4)))
+    return head.select("source_id", F.explode(rows).alias("r")).select("source_id", "r.*")

@@ -138,3 +138,17 @@ def modulo_probe(blobs: DataFrame, moduli: tuple[int, ...] = (3, 4, 6, 8, 12, 16
     keys = keys or ("source_id",)
     each = bytes_of(blobs, *keys).select(*keys, "v", "pos", F.explode(F.array(*map(F.lit, moduli))).alias("m"))
     return each.groupBy(*keys, "m", F.expr("CAST(pos % m AS INT)").alias("r")).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+
+
+def cascade(blobs: DataFrame, *keys: str, first: int = 64, second: int = 128) -> DataFrame:
+    """keys, c2, c1, sym, n, level: the table that codes each byte: that of the two bytes before it if seen `second`
+    times, else of the one before it if seen `first` times, else the blob's: two left joins and a coalesce."""
+    keys = keys or ("source_id",)
+    byte = lambda at: F.conv(F.hex(F.substring(F.col("data"), at + 1, F.lit(1))), 16, 10).cast("int")
+    df = blobs.where(F.octet_length("data") > 2).select(*keys, "data", F.explode(F.sequence(F.lit(2), F.octet_length("data") - 1)).alias("pos"))
+    three = df.select(*keys, byte(F.col("pos") - 2).alias("c2"), byte(F.col("pos") - 1).alias("c1"), byte(F.col("pos")).alias("sym")).groupBy(*keys, "c2", "c1", "sym").agg(F.count("*").alias("n"))
+    two = three.groupBy(*keys, "c2", "c1").agg(F.sum("n").alias("t2")).where(F.col("t2") >= second)
+    one = three.groupBy(*keys, "c1").agg(F.sum("n").alias("t1")).where(F.col("t1") >= first)
+    df = three.join(two, [*keys, "c2", "c1"], "left").join(one, [*keys, "c1"], "left")
+    level = F.when(F.col("t2").isNotNull(), 2).when(F.col("t1").isNotNull(), 1).otherwise(0)
+    return df.select(*keys, "c2", "c1", "sym", "n", level.alias("level"))

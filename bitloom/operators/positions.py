@@ -100,3 +100,20 @@ def sizes(pos: DataFrame, *keys: str) -> DataFrame:
     df = g.withColumn("l", ef_low_bits(F.col("n"), F.col("k"))).join(r, list(keys))
     ef = EF_HEAD + F.ceil(F.col("k") * F.col("l") / 8) + F.ceil((F.col("k") + F.expr("last >> l")) / 8)
     return df.select(*keys, "n", "k", bitset_size(F.col("n")).alias("bitset"), gap_size(F.col("k"), F.col("largest")).cast("long").alias("gap"), ef.cast("long").alias("ef"), (RLE_HEAD + F.ceil(F.col("gamma") / 8)).cast("long").alias("rle"), (F.col("k") * F.col("l") + F.expr("n >> l") + F.col("k")).cast("long").alias("ef_bits"), (8 + F.col("gamma")).alias("rle_bits"))
+
+
+def profile(blobs: DataFrame, bit: int, compressed: DataFrame) -> DataFrame:
+    """The profile of each blob's plane: gaps, runs, sizes and the best of four codings (ties to the first of bitset,
+    delta, bitset and gzip, delta and gzip). A blob without flags has no gaps and runs; `compressed` has gzip sizes."""
+    pos = flags(blobs, bit)
+    gap = gaps(pos)
+    base = blobs.where(F.octet_length("data") > 0).select("source_id", F.octet_length("data").cast("long").alias("n"))
+    df = base
+    for part in (gap_stats(gap), gap_entropy(gap), run_stats(runs(pos)), sizes(pos).select("source_id", F.col("gap").alias("_gap"))):
+        df = df.join(part, "source_id", "left")
+    df = df.join(compressed, "source_id").withColumn("k", F.coalesce("k", F.lit(0)))
+    df = df.withColumns({"density": F.col("k") / F.col("n"), "enc_bitset": bitset_size(F.col("n")).cast("long"), "enc_delta_raw": F.coalesce("_gap", F.lit(GAP_HEAD)).cast("long")}).drop("_gap")
+    codings = ("enc_bitset", "enc_delta_raw", "enc_bitset_gz", "enc_delta_gz")
+    best = F.array_min(F.array(*(F.struct(F.col(c).alias("b"), F.lit(i).alias("i"), F.lit(c.removeprefix("enc_")).alias("m")) for i, c in enumerate(codings))))
+    df = df.withColumn("_best", best)
+    return df.select("*", F.col("_best.b").alias("enc_best"), F.col("_best.m").alias("enc_best_method"), (100 * (F.col("_best.b") / F.col("n") - 1)).alias("enc_vs_raw_pct")).drop("_best")

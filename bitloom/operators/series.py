@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bitloom.operators import entropy, planes
+
 #: What counts as a transition: the class differs, or the halt depth by so much, or the target bit.
 HALT_STEP = 3
 DEEP, SHALLOW = 10, 5
@@ -81,3 +83,35 @@ def summary(series: DataFrame, *keys: str) -> DataFrame:
     main = series.groupBy(*keys).agg(F.count("*").alias("n_chunks"), F.sum("size").alias("total_bytes"), F.avg("halt_depth").alias("halt_depth_mean"), F.min("halt_depth").alias("halt_depth_min"), F.max("halt_depth").alias("halt_depth_max"), F.count_if(F.col("best_entropy_pct") < -1).alias("n_reduction_chunks"), F.count_if(noise).alias("n_noise_chunks"), (100 * F.count_if(noise) / F.count("*")).alias("compression_skip_pct"))
     dist = lambda c, out: series.groupBy(*keys, c).agg(F.count("*").alias("n")).groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(c, "n")))).alias(out))
     return main.join(dist("cls", "class_distribution"), list(keys)).join(dist("primary_target_bit", "bit_distribution"), list(keys))
+
+
+def sweep_totals(blobs: DataFrame, *keys: str) -> DataFrame:
+    """keys, bit, total, layers: flags of each bit and of the parity layers over their positions; least total first."""
+    keys = keys or ("source_id",)
+    hex_at = lambda i: F.conv(F.hex(F.substring(F.col("data"), i + 1, F.lit(1))), 16, 10).cast("int")
+    df = blobs.where(F.octet_length("data") > 0).select(*keys, F.transform(F.sequence(F.lit(0), F.octet_length("data") - 1), hex_at).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
+    first = F.expr("filter(transform(v, (x, i) -> IF((x >> bit) & 1 = 1, i, NULL)), i -> i IS NOT NULL)")
+    fold = """aggregate(sequence(1, 40), named_struct('x', x, 'out', array(size(x))), (s, _) -> IF(size(s.x) > 0,
+        named_struct('x', filter(transform(s.x, (v, i) -> IF(v % 2 = 1, i, NULL)), i -> i IS NOT NULL), 'out', concat(s.out, array(size(filter(s.x, v -> v % 2 = 1))))), s), s -> filter(s.out, (n, i) -> n > 0 OR i = 0))"""
+    out = df.select(*keys, "bit", first.alias("x")).withColumn("layers", F.expr(fold))
+    return out.select(*keys, "bit", F.aggregate("layers", F.lit(0).cast("long"), lambda a, n: a + n).alias("total"), "layers")
+
+
+def primary_bit(totals: DataFrame, *keys: str) -> DataFrame:
+    keys = keys or ("source_id",)
+    return totals.groupBy(*keys).agg(F.min(F.struct("total", "bit"))["bit"].alias("primary_target_bit"))
+
+
+def analysed(chunks: DataFrame) -> DataFrame:
+    """source_id, index, offset, size, data and the timeline's columns of each chunk: the whole analysis in one plan."""
+    keys = ["source_id", "index"]
+    hist = planes.histogram(chunks, *keys)
+    print_ = fingerprint(decay(chunks, *keys), planes.popcounts(hist, *keys), planes.uniformity(hist, *keys), *keys)
+    best = entropy.best_bit(entropy.bit_table(hist, *keys), *keys)
+    return chunks.join(print_, keys, "left").join(primary_bit(sweep_totals(chunks, *keys), *keys), keys, "left").join(best, keys, "left")
+
+
+def frame_log(line: DataFrame) -> DataFrame:
+    """source_id, index, value: a timeline's rows as text, for write.text partitioned by source."""
+    text = F.format_string("chunk %06d  offset %d  size %d\n  class %s  halt depth %d  odd ratio %.4f\n  target bit %s  entropy bit %s (%s %%)", "index", "offset", "size", "cls", "halt_depth", "l0_odd_ratio", F.col("primary_target_bit").cast("string"), F.col("best_entropy_bit").cast("string"), F.round("best_entropy_pct", 2).cast("string"))
+    return line.select("source_id", "index", text.alias("value"))

@@ -483,3 +483,47 @@ def stream_chunk_stats(spark, sf_dir):
     # a pattern, for a stream of one file or of a folder of files alike
     stream = streaming.blob_stream(spark, f"{sf_dir}/documents.parque[t]", "doc_id", "text", schema)
     return streaming.drained(streaming.chunk_stats(stream, CHUNK), _shared(spark)).select("source_id", "index", "offset", "size")
+
+
+@query(f"""WITH {PAGES}, t AS (SELECT source_id, lag(v, 2) OVER w c2, lag(v) OVER w c1, v sym, pos FROM bytes WINDOW w AS (PARTITION BY source_id ORDER BY pos)),
+three AS (SELECT source_id, c2, c1, sym, count(*) n FROM t WHERE pos >= 2 GROUP BY ALL), two AS (SELECT source_id, c2, c1 FROM three GROUP BY ALL HAVING sum(n) >= 128), one AS (SELECT source_id, c1 FROM three GROUP BY ALL HAVING sum(n) >= 64)
+SELECT source_id, CAST(level AS INTEGER) AS level, CAST(sum(n) AS BIGINT) symbols FROM (SELECT three.*, CASE WHEN two.c1 IS NOT NULL THEN 2 WHEN one.c1 IS NOT NULL THEN 1 ELSE 0 END AS level FROM three LEFT JOIN two ON two.source_id = three.source_id AND two.c2 = three.c2 AND two.c1 = three.c1 LEFT JOIN one ON one.source_id = three.source_id AND one.c1 = three.c1) GROUP BY ALL""")
+def context_cascade(spark, sf_dir):
+    return entropy.cascade(blobs.pages(spark, sf_dir)).groupBy("source_id", "level").agg(F.sum("n").alias("symbols"))
+
+
+@query()
+def backend_bench(spark, sf_dir):
+    return coding.backend_bench(blobs.benchmark(spark, sf_dir))
+
+
+@query()
+def cost_based_bit(spark, sf_dir):
+    return coding.bit_choices(blobs.benchmark(spark, sf_dir))
+
+
+@query()
+def flag_position_profile(spark, sf_dir):
+    df = blobs.documents(spark, sf_dir)
+    return positions.profile(df, BIT, coding.compressed_flags(df, BIT))
+
+
+@query()
+def sweep_totals(spark, sf_dir):
+    return series.sweep_totals(blobs.benchmark(spark, sf_dir)).withColumn("layers", F.array_join("layers", ","))
+
+
+@query()
+def complexity_series(spark, sf_dir):
+    """The whole analysis of chunks: fingerprint, target bits and entropies."""
+    return series.complexity(series.analysed(chunking.fixed(blobs.benchmark(spark, sf_dir), 128)))
+
+
+@query()
+def frame_log(spark, sf_dir):
+    return series.frame_log(complexity_series(spark, sf_dir))
+
+
+@query()
+def run_log(spark, sf_dir):
+    return coding.run_log(blobs.benchmark(spark, sf_dir))

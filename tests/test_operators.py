@@ -157,3 +157,25 @@ def test_streams(spark, tmp_path, edge):
     assert {(r.source_id, r["index"], r.flags) for r in pop.collect()} == {(r.source_id, r["index"], r.p5) for r in got.collect()}
     changes = streaming.drained(streaming.target_changes(streaming.chunk_stats(spark.readStream.schema("source_id string, data binary").parquet(str(tmp_path / "in")), 16)), str(tmp_path / "changes"))
     assert all(r.before != r.after for r in changes.collect())
+
+
+def test_sweep_totals(edge):
+    got = {(r.source_id, r.bit): (r.total, list(r.layers)) for r in series.sweep_totals(edge).collect()}
+    for name, data in EDGE:
+        for bit in range(8) if data else ():
+            x = [i for i, v in enumerate(data) if v >> bit & 1]
+            layers = [len(x)]
+            while x := [i for i, v in enumerate(x) if v % 2]:
+                layers.append(len(x))
+            assert got[name, bit] == (sum(layers), layers)
+
+
+def test_profile_of_a_plane(spark):
+    data = bytes([1, 0, 0, 1, 1, 0, 0, 0, 1])
+    df = spark.createDataFrame([("s", bytearray(data)), ("none", bytearray(4))], "source_id string, data binary")
+    got = {r.source_id: r for r in positions.profile(df, 0, coding.compressed_flags(df, 0)).collect()}
+    r = got["s"]
+    assert (r.k, r.n, r.gap_min, r.gap_max, r.gap_mean) == (4, 9, 0, 4, 2.0)
+    assert (r.run_set_max, r.run_set_mean, r.run_clear_max, r.run_clear_mean) == (2, 4 / 3, 3, 2.5)
+    assert (r.enc_bitset, r.enc_delta_raw, r.enc_best, r.enc_best_method) == (2, 8, 2, "bitset")
+    assert (got["none"].k, got["none"].enc_delta_raw, got["none"].gap_min) == (0, 4, None)
