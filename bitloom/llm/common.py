@@ -19,13 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made where spark.checkpoint.dir is unset, by application.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="bitloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    """This application's place in the folder that driver and executors share: spark.checkpoint.dir, or a temporary
+    folder where that is unset, as in tests."""
+    app = spark.sparkContext.applicationId
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="bitloom-")
+    return f"{root.rstrip('/')}/bitloom-{app}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -36,6 +41,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all stored tables of this application; results that were not written elsewhere go with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Buckets of likely(): a broadcast of so many longs at most (8 MB).
 BUCKETS = 1 << 20
 

@@ -8,6 +8,7 @@ shard documents stand in a seeded order and the quota is a number of whole passe
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,17 +82,18 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     shards = max(1, min(SHARDS, sized.count() // SHARD_ROWS))
     sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(shards)).cast("int"))
     cells = {(r.key, r.shard): r.n for r in sized.groupBy("key", "shard").agg(F.sum("size").alias("n")).collect()}
-    names = sorted({k for k, _ in cells}, key=lambda k: (k == "~", k))
-    sizes = {k: 0 for k in names}
-    for (k, _), n in cells.items():
-        sizes[k] += n
+    shards_of: dict[str, list[int]] = defaultdict(list)
+    for k, s in sorted(cells):
+        shards_of[k].append(s)
+    names = sorted(shards_of, key=lambda k: (k == "~", k))
+    sizes = {k: sum(cells[k, s] for s in shards_of[k]) for k in names}
     total = sum(sizes.values())
     goal = targets([sizes[k] for k in names], [WEIGHTS[i % 3] for i in range(len(names))], total)
     block = max(1, total // BLOCKS)
     quota = apportion(goal, round(sum(goal) / block), [-(-REPEATS * sizes[k] // block) for k in names])
     rows = []
     for k, want, blocks in zip(names, goal, quota, strict=True):
-        own = sorted(s for x, s in cells if x == k)
+        own = shards_of[k]
         each = apportion([cells[k, s] for s in own], blocks, [-(-REPEATS * cells[k, s] // block) for s in own])
         rows += [(k, s, sizes[k], float(want), cells[k, s], min(b * block, REPEATS * cells[k, s])) for s, b in zip(own, each, strict=True)]
     plan = docs.sparkSession.createDataFrame(rows, "key string, shard int, source_size long, target double, cell long, quota long")
