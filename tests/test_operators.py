@@ -179,3 +179,12 @@ def test_profile_of_a_plane(spark):
     assert (r.run_set_max, r.run_set_mean, r.run_clear_max, r.run_clear_mean) == (2, 4 / 3, 3, 2.5)
     assert (r.enc_bitset, r.enc_delta_raw, r.enc_best, r.enc_best_method) == (2, 8, 2, "bitset")
     assert (got["none"].k, got["none"].enc_delta_raw, got["none"].gap_min) == (0, 4, None)
+
+
+def test_sql_functions(spark, edge):
+    from bitloom.functions import udfs
+
+    udfs.register(spark)
+    edge.createOrReplaceTempView("edge")
+    same = spark.sql("SELECT decode_blob(encode_blob(data)) = data AND ans1_decode(ans1_encode(data)) = data AS same, encode_blob(NULL) AS none FROM edge").collect()
+    assert len(same) == len(EDGE) and all(r.same and r.none is None for r in same)
