@@ -171,14 +171,15 @@ def removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         met = index.add(part)
         shared = met if shared is None else shared.union(met)
     index.close()
-    shared = shared.distinct()
+    # stored, so that joins with hot marks and windows stand on shuffles of their own, which adaptive execution can split
+    shared = stored(shared.distinct(), "shared")
     cand = own.join(shared, "mark", "left_semi").groupBy("doc").agg(F.collect_set("mark").alias("shared"))
     cand = stored(cand.withColumnRenamed("doc", "doc_id"), "candidates")
     texts = likely(docs, "doc_id", cand.select("doc_id")).join(cand, "doc_id")
     hashed = texts.select("doc_id", "text", "shared").mapInArrow(windows, "doc_id long, w1 long, start int, h1 long, h2 int")
     hashed = stored(hashed, "windows")
     least = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    gone = hashed.join(least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "w1", "start")
+    gone = hashed.join(stored(least, "least"), ["h1", "h2"]).where("doc_id > least").select("doc_id", "w1", "start")
     gone = stored(gone.groupBy("doc_id", "w1").agg(F.collect_set("start").alias("starts")), "removals")
     again = likely(docs, "doc_id", gone.select("doc_id")).join(gone.select("doc_id", "starts", F.col("w1").alias("want")), "doc_id")
     left = again.select("doc_id", "text", "starts", "want").mapInArrow(removals, "doc_id long, w1 long, n_removed long, kept string, want long")
