@@ -172,11 +172,12 @@ def cluster(docs: DataFrame, percent: int = 85) -> DataFrame:
     Links join documents whose sets of distinct 5-word shingles (ASCII letters lower-cased) meet
     100 * intersection >= percent * union; component_id is the least doc_id reachable by links, kept marks that document.
     Null or wordless texts have no shingles, link with nothing and are kept. Rows with a null doc_id stay, with a null
-    component_id, and are kept; repeated rows stay, one node together. Other columns are not read.
+    component_id, and are kept; rows of one doc_id stay, one node together that links by any of their texts. Other columns
+    are not read.
     """
     sk = stored(sketches(docs), "sketches")
     reps = stored(sk.where("n_shingles > 0 and doc_id is not null").groupBy("set1", "set2").agg(F.min("doc_id").alias("rep")), "reps")
-    nodes = sk.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nodes = sk.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "set1"])
     posted = nodes.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
     many = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = stored(posted.join(many, "key"), "members")
@@ -184,7 +185,7 @@ def cluster(docs: DataFrame, percent: int = 85) -> DataFrame:
     near = dealt(pairs.select("key", "x", "y", "block", "id", "sig"), "key").mapInArrow(bucket_edges, "a long, b long")
     clusters = stored(components(near).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster")
-    texts = likely(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", clusters.select("id")).join(sized, "id").dropDuplicates(["id"])
+    texts = likely(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", clusters.select("id")).join(sized, "id").dropDuplicates(["id", "text"])
     links = dealt(block_pairs(texts, "cluster", "members").select("cluster", "x", "y", "block", "id", "text"), "cluster").mapInArrow(confirmed(percent), "a long, b long")
     found = components(links)
     whole = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set1", "set2", F.coalesce("component", "rep").alias("c"))
