@@ -25,7 +25,7 @@ from bitloom.llm.sampling import labelled
 
 BITS = 16
 BUCKETS = 1 << BITS
-DIM, EPOCHS, RATE, BATCH = 8, 4, 0.05, 32
+DIM, EPOCHS, RATE, BATCH = 8, 6, 0.05, 32
 #: A document is kept at this score or more.
 KEEP = 0.3
 
@@ -94,17 +94,22 @@ class Model:
         return np.round(1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30))), 9)
 
 
-def bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text its distinct buckets and their shares, which sum to 1 in each family."""
-    roller, out = Roller(2), []
+def bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets and their shares of all texts, one after another, and the place where each begins (one more at the end).
+
+    The shares of a text sum to 1 in each family. A few large arrays, which the driver gives back when it is done.
+    """
+    roller, at, share, sizes = Roller(2), [], [], [0]
     for t in texts:
         bag = np.zeros(BUCKETS, np.float32)
         for bucket, (begin,), (end,) in features([t], roller):
             if n := int(end - begin):
                 bag += np.bincount(bucket[begin:end], minlength=BUCKETS).astype(np.float32) / n
-        at = np.flatnonzero(bag)
-        out.append((at, bag[at]))
-    return out
+        used = np.flatnonzero(bag)
+        at.append(used.astype(np.uint16))
+        share.append(bag[used])
+        sizes.append(len(used))
+    return np.concatenate(at), np.concatenate(share), np.cumsum(sizes)
 
 
 def train(sample: pd.DataFrame, seed: int = 0) -> Model:
@@ -116,7 +121,7 @@ def train(sample: pd.DataFrame, seed: int = 0) -> Model:
     vector = (rng.random((BUCKETS, DIM), np.float32) - 0.5) / DIM
     layer = (rng.random((DIM, 2), np.float32) - 0.5) / DIM
     bias = np.zeros(2, np.float32)
-    bag = bags(sample["text"].tolist())
+    buckets, shares, begins = bags(sample["text"].tolist())
     goal = np.stack([~y, y], axis=1).astype(np.float32)
     epochs = min(60, max(EPOCHS, EPOCHS * 2000 // len(y)))
     seen, seen_layer, seen_bias = (np.full(x.shape, 1e-8, np.float32) for x in (vector, layer, bias))
@@ -130,9 +135,9 @@ def train(sample: pd.DataFrame, seed: int = 0) -> Model:
         order = rng.permutation(len(y))
         for s in range(0, len(y), BATCH):
             rows = order[s : s + BATCH]
-            at = np.concatenate([bag[r][0] for r in rows])
-            share = np.concatenate([bag[r][1] for r in rows])
-            sizes = np.array([len(bag[r][0]) for r in rows])
+            at = np.concatenate([buckets[begins[r] : begins[r + 1]] for r in rows])
+            share = np.concatenate([shares[begins[r] : begins[r + 1]] for r in rows])
+            sizes = begins[rows + 1] - begins[rows]
             begin = np.cumsum(sizes) - sizes
             used = sizes > 0
             hidden = np.zeros((len(rows), DIM), np.float32)

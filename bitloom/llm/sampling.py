@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bitloom.llm.common import held_out
 
 #: At most so many labelled rows are learned from; every other computation covers all rows.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE_ROWS) -> pd.DataFrame:
