@@ -22,7 +22,7 @@ REPEATS = 3
 #: Blocks that all sources share.
 BLOCKS = 100_000
 #: A source has one shard for so many rows of the corpus, and so many shards at most.
-SHARD_ROWS, SHARDS = 20_000, 4096
+SHARD_ROWS, SHARDS = 4_000, 4096
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, repeats: int = REPEATS) -> list[float]:
