@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Words are dealt out in blocks of equal size. Blocks go to sources by highest quotients target / (2 * blocks + 1), then
-each source's blocks to its shards by the shards' sizes in the same way, so every shard has an integer quota. Within a
-shard documents stand in a seeded order and the quota is a number of whole passes and a stretch from the order's begin.
+Words are dealt out one by one, in closed form but for the last few: to sources by highest quotients
+target / (2 * words + 1), then each source's words to its shards by the shards' sizes in the same way, so every shard
+has an integer quota and a source's quotas sum to its target, however small it is. Within a shard documents stand in a
+seeded order and the quota is a number of whole passes and a stretch from the order's begin.
 """
 
 from __future__ import annotations
@@ -19,10 +20,8 @@ from bitloom.llm.common import SPACE, fresh, stored
 WEIGHTS = (5, 2, 1)
 #: A source is repeated at most so often.
 REPEATS = 3
-#: Blocks that all sources share.
-BLOCKS = 100_000
-#: A source has one shard for so many rows of the corpus, and so many shards at most.
-SHARD_ROWS, SHARDS = 4_000, 4096
+#: A source has one shard for so many rows of its own, and so many shards at most.
+SHARD_ROWS, SHARDS = 1_000, 4096
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], total: float, repeats: int = REPEATS) -> list[float]:
@@ -46,12 +45,14 @@ def targets(sizes: Sequence[int], weights: Sequence[float], total: float, repeat
 def apportion(claims: Sequence[float], seats: int, caps: Sequence[int]) -> list[int]:
     """Sainte-Lague: each seat to the highest quotient claim / (2 * seats + 1), within caps; ties to the first.
 
-    Whole quotas below the exact shares less one half are certain, so only the last few seats are dealt one by one.
+    With n claims the final divisor is within n / (2 * seats) of whole / seats, so each has for certain its exact share
+    less n / 2 of its part of the whole and one half; caps of others only add. At most about 3 * n seats, and those
+    above caps, are dealt one by one.
     """
     whole = sum(claims)
     if whole <= 0 or seats <= 0:
         return [0] * len(claims)
-    out = [min(c, max(0, int(seats * x / whole) - len(claims))) for x, c in zip(claims, caps, strict=True)]
+    out = [min(c, max(0, int(seats * x / whole - len(claims) / 2 * x / whole - 1))) for x, c in zip(claims, caps, strict=True)]
     heap = [(-x / (2 * n + 1), i) for i, (x, n, c) in enumerate(zip(claims, out, caps, strict=True)) if n < c and x > 0]
     heapq.heapify(heap)
     for _ in range(seats - sum(out)):
@@ -79,8 +80,9 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~"))
     sized = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")).withColumn("key", key), "sizes")
-    shards = max(1, min(SHARDS, sized.count() // SHARD_ROWS))
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(shards)).cast("int"))
+    split = [(r.key, max(1, min(SHARDS, r["count"] // SHARD_ROWS))) for r in sized.groupBy("key").count().collect()]
+    sized = sized.join(F.broadcast(docs.sparkSession.createDataFrame(split, "key string, shards int")), "key")
+    sized = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("shards")).cast("int")).drop("shards")
     cells = {(r.key, r.shard): r.n for r in sized.groupBy("key", "shard").agg(F.sum("size").alias("n")).collect()}
     shards_of: dict[str, list[int]] = defaultdict(list)
     for k, s in sorted(cells):
@@ -89,13 +91,12 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     sizes = {k: sum(cells[k, s] for s in shards_of[k]) for k in names}
     total = sum(sizes.values())
     goal = targets([sizes[k] for k in names], [WEIGHTS[i % 3] for i in range(len(names))], total)
-    block = max(1, total // BLOCKS)
-    quota = apportion(goal, round(sum(goal) / block), [-(-REPEATS * sizes[k] // block) for k in names])
+    quota = apportion(goal, round(sum(goal)), [REPEATS * sizes[k] for k in names])
     rows = []
-    for k, want, blocks in zip(names, goal, quota, strict=True):
+    for k, want, words in zip(names, goal, quota, strict=True):
         own = shards_of[k]
-        each = apportion([cells[k, s] for s in own], blocks, [-(-REPEATS * cells[k, s] // block) for s in own])
-        rows += [(k, s, sizes[k], float(want), cells[k, s], min(b * block, REPEATS * cells[k, s])) for s, b in zip(own, each, strict=True)]
+        each = apportion([cells[k, s] for s in own], words, [REPEATS * cells[k, s] for s in own])
+        rows += [(k, s, sizes[k], float(want), cells[k, s], n) for s, n in zip(own, each, strict=True)]
     plan = docs.sparkSession.createDataFrame(rows, "key string, shard int, source_size long, target double, cell long, quota long")
     order = Window.partitionBy("key", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = sized.withColumn("end", F.sum("size").over(order)).join(plan, ["key", "shard"])

@@ -284,3 +284,27 @@ def test_apportionment():
     assert mixing.apportion([53000, 24000, 23000], 7, [9, 9, 9]) == [3, 2, 2]
     assert mixing.apportion([10, 1], 5, [2, 9]) == [2, 3]
     assert mixing.targets([10, 100, 100], [5, 2, 1], 210) == [30.0, 120.0, 60.0]
+
+
+def test_small_sources_meet_their_target(spark, monkeypatch):
+    """A source of a few words beside a large one, and a middle one that isn't repeated, over many shards."""
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 10)
+    rows = [(i, "w " * 1000, "c") for i in range(2000)] + [(5000 + i, "one", "a") for i in range(100)] + [(6000 + i, "w " * (i % 7), "b") for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 3 and all(abs(r.taken - r.target) <= 1 for r in got)
+
+
+def test_apportionment_in_closed_form():
+    """As dealt one by one, also where many claims share many seats and where caps bind."""
+    import random
+
+    r = random.Random(8)
+    for _ in range(200):
+        claims = [r.choice([0, 1, 3, 50, 7000]) + r.randrange(3) for _ in range(r.randrange(1, 40))]
+        seats, caps = r.randrange(400), [r.choice([9, 40, 999]) for _ in claims]
+        want = [0] * len(claims)
+        for _ in range(seats):
+            open_ = [i for i, x in enumerate(claims) if x > 0 and want[i] < caps[i]]
+            if open_:
+                want[max(open_, key=lambda i: (claims[i] / (2 * want[i] + 1), -i))] += 1
+        assert mixing.apportion(claims, seats, caps) == want
