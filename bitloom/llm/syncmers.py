@@ -1,57 +1,123 @@
-"""Document fingerprints from closed syncmers over words, in DataFrame operations only.
-
-A k-mer is K = 4 consecutive words with three inner parts of S = 2 words. It is chosen if its first or its last part
-has the least hash of the three. The choice depends on the k-mer alone, so the same passage gives the same anchors in
-any text. A fingerprint is the SKETCH least distinct hashes of the chosen k-mers, and likeness is the Jaccard
-estimate of two such sketches. A text without chosen k-mers has the hashes of its words instead.
+"""Document fingerprints from closed syncmers over code points, in DataFrame operations only.
+
+A k-mer is K = 20 consecutive code points with 17 inner s-mers of S = 4. It is chosen if its first or its last s-mer
+has the least hash of them all. The choice depends on the k-mer alone, so the same passage gives the same anchors in
+any text, whether or not it has white space. A fingerprint is the SKETCH least distinct hashes of the chosen k-mers,
+and likeness is the Jaccard estimate of two such sketches. A text under SHORT code points, half of which has few
+k-mers or none, has the hashes of all its s-mers instead, and of its code points if it is shorter than an s-mer. Two texts are compared on the finest of these
+that both have, never on two different ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import SPACE
 
 SKETCH = 64
+K, S = 20, 4
+#: Half of a text of so many code points has 13 chosen k-mers on average.
+SHORT = 256
+#: Code points of a text that are looked at together; pieces overlap, so k-mers are those of the whole text.
+PIECE = 65_536
 #: Rows that are ordered together when each looks for its successor, and the most such buckets.
 BUCKET_ROWS, BUCKETS, KNOTS = 512, 16_384, 64
 
 
-def with_syncmers(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add array<long> `out`: at each k-mer's place its hash, null where it isn't chosen. Also `out`_w, the words."""
-    w, p = f"{out}_w", f"{out}_p"
-    df = df.withColumn(w, F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), ""))
-    part = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
-    df = df.withColumn(p, part)
-    rest = lambda i: F.slice(p, F.lit(i), F.greatest(F.size(p), F.lit(1)))
-    ends = F.zip_with(p, rest(3), lambda a, c: F.when(c.isNotNull(), F.struct(a.alias("a"), c.alias("c"))))
-    return df.withColumn(out, F.zip_with(ends, rest(2), lambda e, b: F.when(b >= F.least(e["a"], e["c"]), F.xxhash64(e["a"], e["c"])))).drop(p)
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def starts(x: Column, n: int) -> Column:
+    """The elements of array x at which n consecutive ones begin."""
+    return F.slice(x, F.lit(1), F.greatest(F.size(x) - (n - 1), F.lit(0)))
+
+
+def grams(c: Column, n: int) -> Column:
+    """Hashes of all runs of n code points; c are the code points."""
+    return F.transform(starts(c, n), lambda x, i: F.xxhash64(x, *(F.get(c, i + j) for j in range(1, n))))
+
+
+def closed(c: Column) -> Column:
+    """At each k-mer's place its hash, null where it isn't chosen; c are the code points."""
+    last = K - S
+
+    def chosen(h: Column, four: Column) -> Column:
+        # the inner s-mers, at 1 to last - 1, by fours of which the last two overlap
+        inner = lambda i: F.least(*(F.get(four, i + j) for j in (1, 5, 9, last - 4)))
+        whole = lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(0, last + 1, S)))
+        return F.transform(starts(h, last + 1), lambda x, i: F.when(F.least(x, F.get(h, i + last)) <= inner(i), whole(i)))
+
+    fours = lambda h: F.transform(h, lambda x, i: F.least(x, F.get(h, i + 1), F.get(h, i + 2), F.get(h, i + 3)))
+    return let(grams(c, S), lambda h: let(fours(h), lambda four: chosen(h, four)))
+
 
+def pieces(text: Column, width: int, then: Callable[[Column, Column], Column]) -> Column:
+    """Array of then(code points, offset) of each piece of the text; each run of `width` code points is in one piece."""
+    at = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(PIECE))
+    signs = lambda o: F.array_remove(F.split(F.substring(text, o + 1, F.lit(PIECE + width - 1)), ""), "")
+    return F.transform(at, lambda o: let(signs(o), lambda c: then(c, o)))
 
-def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add array<long> `out`: the fingerprint of column `text`."""
-    df = with_syncmers(df, text, "_s")
-    df = df.withColumn("_k", F.slice(F.sort_array(F.array_distinct(F.array_compact("_s"))), 1, SKETCH))
-    single = F.slice(F.sort_array(F.array_distinct(F.transform("_s_w", lambda x: F.xxhash64(x)))), 1, SKETCH)
-    return df.withColumn(out, F.when(F.size("_k") > 0, F.col("_k")).otherwise(single)).drop("_s", "_s_w", "_k")
 
+def least(hashes: Column) -> Column:
+    return F.slice(F.sort_array(F.array_distinct(F.filter(hashes, lambda x: x.isNotNull()))), 1, SKETCH)
 
-def likeness(a: str, b: str) -> Column:
+
+def sketch(text: Column) -> Column:
+    """The SKETCH least hashes of the chosen k-mers, none for a short text."""
+    return F.when(F.length(text) >= SHORT, least(F.flatten(pieces(text, K, lambda c, _: least(closed(c)))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def plain(text: Column, n: int) -> Column:
+    """The SKETCH least hashes of all runs of n code points."""
+    return least(F.flatten(pieces(text, n, lambda c, _: least(grams(c, n)))))
+
+
+def own(text: Column, sk: Column) -> Column:
+    """The fingerprint of a text whose chosen k-mers have the sketch sk."""
+    return F.when(F.size(sk) > 0, sk).when(F.length(text) >= S, plain(text, S)).otherwise(plain(text, 1))
+
+
+def likeness(a: Column, b: Column) -> Column:
     """0 to 1 for two sketches; 1 for two empty ones."""
     both = F.slice(F.sort_array(F.array_distinct(F.concat(a, b))), 1, SKETCH)
-    met = F.size(F.array_intersect(F.array_intersect(both, F.col(a)), F.col(b)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(met / F.greatest(F.size(both), F.lit(1)))
+    met = lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.greatest(F.size(u), F.lit(1))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(let(both, met))
+
+
+def near(text: Column, sk: Column, other: Column, other_sk: Column) -> Column:
+    """Likeness of two texts with the sketches of their chosen k-mers, on the finest basis that both have."""
+    by = lambda n: let(plain(text, n), lambda a: let(plain(other, n), lambda b: likeness(a, b)))
+    both = lambda x, y, n: (x >= n) & (y >= n)
+    chosen = both(F.size(sk), F.size(other_sk), 1)
+    return F.when(chosen, likeness(sk, other_sk)).when(both(F.length(text), F.length(other), S), by(S)).otherwise(by(1))
 
 
-def shown(sketch: str) -> Column:
+def shown(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (in words, from 0), hash: every closed syncmer of every text, for positional matching."""
-    df = with_syncmers(docs.select("doc_id", "text"), "text", "s")
-    return df.select("doc_id", F.posexplode("s").alias("pos", "hash")).where("hash is not null")
+    """doc_id, pos (of the word it begins in or after, from 0), at (in code points, from 0), hash: every closed syncmer
+    of every text, for positional matching.
+
+    Beginnings of words and anchors are sorted together, so an anchor's word is its rank less the anchors before it.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    spot = lambda at, kind, nth, hash_: F.struct(at.cast("long").alias("at"), F.lit(kind).alias("kind"), nth.cast("long").alias("nth"), hash_.cast("long").alias("hash"))
+    mers = lambda c, o: F.filter(F.transform(closed(c), lambda h, i: spot(o + i, 1, F.lit(0), h)), lambda x: x["hash"].isNotNull())
+    # a piece is seen with the code point after it; that after white space begins a word
+    begins = lambda c, o: F.filter(F.transform(starts(c, 2), lambda x, i: F.when(x.rlike(SPACE) & ~F.get(c, i + 1).rlike(SPACE), spot(o + i + 1, 0, F.lit(0), F.lit(0)))), lambda x: x.isNotNull())
+    first = F.when(F.length(text) > 0, F.when(~F.substring(text, 1, 1).rlike(SPACE), F.array(spot(F.lit(0), 0, F.lit(0), F.lit(0)))))
+    df = docs.select("doc_id", F.flatten(pieces(text, K, mers)).alias("m"), F.flatten(pieces(text, 2, begins)).alias("b"), first.alias("f"))
+    nth = F.transform("m", lambda x, i: spot(x["at"], 1, i, x["hash"]))
+    every = F.sort_array(F.concat(F.coalesce("f", F.array().cast(df.schema["m"].dataType)), "b", nth))
+    out = df.select("doc_id", F.posexplode(every).alias("rank", "e")).where("e.kind = 1")
+    return out.select("doc_id", F.greatest(F.col("rank") - F.col("e.nth") - 1, F.lit(0)).cast("int").alias("pos"), F.col("e.at").alias("at"), F.col("e.hash").alias("hash"))
 
 
 def bucketed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,12 +152,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     df, after = bucketed(docs)
     heads = df.join(F.broadcast(after.withColumnRenamed("bucket", "before")), (F.col("bucket") == F.col("next_bucket")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    heads = with_sketch(heads.groupBy(F.col("before").alias("bucket")).agg(F.max("text").alias("head_text")), "head_text", "head_sk")
+    heads = heads.groupBy(F.col("before").alias("bucket")).agg(F.max("text").alias("head_text")).withColumn("head_sk", sketch(F.col("head_text")))
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    df = with_sketch(df, "text", "sk").withColumns({"after_text": F.lead("text").over(order), "after_sk": F.lead("sk").over(order)})
+    df = df.withColumn("sk", sketch(F.col("text"))).withColumns({"after_text": F.lead("text").over(order), "after_sk": F.lead("sk").over(order)})
     df = df.join(heads, (df["bucket"] == heads["bucket"]) & df["after_text"].isNull(), "left")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     df = df.select("doc_id", "text", "sk", F.length("text").alias("n_chars"), F.coalesce("after_text", "head_text").alias("next_text"), F.coalesce("after_sk", "head_sk").alias("next_sk"))
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("next_text", F.lit(1), half)))
-    df = with_sketch(df.drop("text", "next_text"), "edited", "esk")
-    return df.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), shown("sk").alias("fingerprint"), shown("esk").alias("edited_fingerprint"), likeness("sk", "esk").alias("near_edited"), likeness("sk", "next_sk").alias("near_next"))
+    df = df.withColumn("esk", sketch(F.col("edited")))
+    text, sk, edited, esk = (F.col(c) for c in ("text", "sk", "edited", "esk"))
+    out = df.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), shown(own(text, sk)).alias("fingerprint"), shown(own(edited, esk)).alias("edited_fingerprint"), near(text, sk, edited, esk).alias("near_edited"), near(text, sk, F.col("next_text"), F.col("next_sk")).alias("near_next"))
+    return out

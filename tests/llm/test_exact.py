@@ -166,6 +166,38 @@ def test_syncmers_are_context_free(spark):
     assert len(at[1]) > 20 and {at[2][h] - p for h, p in at[1].items()} == {33}
 
 
+def test_syncmers_without_white_space(spark):
+    """Prose without spaces, beyond the basic plane and short texts keep what they share with their edited text."""
+    import random
+
+    r = random.Random(9)
+    signs = lambda n, first, count: "".join(chr(first + r.randrange(count)) for _ in range(n))
+    rows = [(1, signs(3000, 0x4E00, 3000)), (2, signs(3000, 0x20000, 3000)), (3, signs(3000, 0x61, 26)), (4, "short text of seven words in all"), (5, "a tiny text"), (6, "one"), (7, signs(500, 0x0E01, 40)), (8, "ab")]
+    got = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(0.2 < got[i].near_edited < 0.5 for i in (2, 3))
+    assert all(got[i].near_edited > 0 for i, _ in rows)
+    assert all(len(got[i].fingerprint) == 64 * 16 for i in (1, 2, 3))
+    assert all(got[i].near_next < 0.05 for i in (1, 2, 3, 7))
+
+
+def test_syncmers_by_definition(spark, monkeypatch):
+    """Every k-mer whose first or last s-mer is least, with its place, also where a text is cut in pieces."""
+    text = "".join(prose(53, 60).split()) + " " + prose(54, 60) + " \U00020000ä" + prose(55, 9)
+    k, s = syncmers.K, syncmers.S
+    runs = lambda n: [text[i : i + n] for i in range(len(text) - n + 1)]
+    df = spark.createDataFrame([(x, list(x)) for x in set(runs(s))], "x string, c array<string>")
+    of = {r.x: r.h for r in df.select("x", F.xxhash64(*(F.get("c", F.lit(j)) for j in range(s))).alias("h")).collect()}
+    want = set()
+    for i in range(len(text) - k + 1):
+        h = [of[text[j : j + s]] for j in range(i, i + k - s + 1)]
+        if min(h) in (h[0], h[-1]):
+            want.add((i, len(WORDS.findall(text[: i + 1])) - 1))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for piece in (syncmers.PIECE, 37):
+        monkeypatch.setattr(syncmers, "PIECE", piece)
+        assert {(r.at, r.pos) for r in syncmers.anchors(docs).collect()} == want
+
+
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
