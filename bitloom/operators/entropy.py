@@ -24,11 +24,11 @@ def order0(hist: DataFrame, *keys: str) -> DataFrame:
     return sums.select(*keys, "n", (F.log2(F.col("n").cast("double")) - F.col("s") / F.col("n")).alias("h"))
 
 
-def pairs(blobs: DataFrame, strides: tuple[int, ...] = (1,), *keys: str, sample: int = SAMPLE_BYTES) -> DataFrame:
-    """keys, k, ctx, sym, n: how often byte `sym` follows `ctx` k places before. Both bytes are cut from the blob
-    itself, so no window and no shuffle of byte rows is needed."""
+def pairs(blobs: DataFrame, strides: tuple[int, ...] = (1,), *keys: str, sample: int | None = None) -> DataFrame:
+    """keys, k, ctx, sym, n: how often byte `sym` follows `ctx` k places before, in the whole blob or in its first
+    `sample` bytes. Both bytes are cut from the blob itself, so no window and no shuffle of byte rows is needed."""
     keys = keys or ("source_id",)
-    df = blobs.select(*keys, F.substring("data", 1, sample).alias("data"))
+    df = blobs.select(*keys, (F.col("data") if sample is None else F.substring("data", 1, sample)).alias("data"))
     df = df.select(*keys, "data", F.explode(F.array(*map(F.lit, strides))).alias("k")).where(F.octet_length("data") > F.col("k"))
     df = df.select(*keys, "k", "data", F.explode(F.sequence(F.col("k"), F.octet_length("data") - 1)).alias("pos"))
     byte = lambda at: F.conv(F.hex(F.substring(F.col("data"), at + 1, F.lit(1))), 16, 10).cast("int")

@@ -221,13 +221,13 @@ def pair_histogram_k(spark, sf_dir):
 
 @query(f"WITH {TALK}, {PAIRS}, {COND} SELECT source_id, k, round(h, 6) h FROM cond")
 def cond_entropy_by_stride(spark, sf_dir):
-    return rounded(entropy.conditional(entropy.pairs(talk(spark, sf_dir), entropy.STRIDES)), "h")
+    return rounded(entropy.conditional(entropy.pairs(talk(spark, sf_dir), entropy.STRIDES, sample=entropy.SAMPLE_BYTES)), "h")
 
 
 @query(f"""WITH {TALK}, {PAIRS}, {COND}, c AS (SELECT source_id, k, round(h, 9) h FROM cond), m AS (SELECT source_id, min({{'h': h, 'k': k}}) m, min(h) FILTER (k = 1) h1 FROM c GROUP BY 1)
 SELECT source_id, CASE WHEN h1 - m.h >= 0.05 THEN m.k ELSE 1 END k, round(CASE WHEN h1 - m.h >= 0.05 THEN m.h ELSE h1 END, 6) h, round(h1, 6) h1 FROM m""")
 def stride_select(spark, sf_dir):
-    cond = entropy.conditional(entropy.pairs(talk(spark, sf_dir), entropy.STRIDES))
+    cond = entropy.conditional(entropy.pairs(talk(spark, sf_dir), entropy.STRIDES, sample=entropy.SAMPLE_BYTES))
     return rounded(entropy.stride(cond), "h", "h1")
 
 

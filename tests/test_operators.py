@@ -73,6 +73,15 @@ def test_stride(spark):
     assert r.k == codecs.choose_stride(words) == 8
 
 
+def test_pairs_of_a_whole_blob(spark):
+    """Pairs beyond the bytes that the stride choice looks at count too."""
+    n = entropy.SAMPLE_BYTES + 40
+    df = spark.createDataFrame([("s", bytearray(b"a" * (n - 40) + b"b" * 40))], "source_id string, data binary")
+    got = {(r.ctx, r.sym): r.n for r in entropy.pairs(df).collect()}
+    assert got == {(97, 97): n - 41, (97, 98): 1, (98, 98): 39}
+    assert {(r.ctx, r.sym): r.n for r in entropy.pairs(df, sample=entropy.SAMPLE_BYTES).collect()} == {(97, 97): n - 41}
+
+
 def test_cutoff(spark):
     levels = [(100, 10), (100, 500), (5, 500)]
     df = spark.createDataFrame([(levels, 50)], "l array<struct<flag_bytes:long,ans_bytes:long>>, t long")
