@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,18 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Folders made where spark.checkpoint.dir is unset, by application.
-_own: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """This application's place in the folder that driver and executors share: spark.checkpoint.dir, or a temporary
-    folder where that is unset, as in tests."""
-    app = spark.sparkContext.applicationId
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="bitloom-")
-    return f"{root.rstrip('/')}/bitloom-{app}"
+    """This application's place in the folder that driver and executors share: spark.checkpoint.dir, or where that is
+    unset, the warehouse, which they share too."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/bitloom-{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -41,10 +33,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all stored tables of this application; results that were not written elsewhere go with them."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, shared_folder(spark))
 
 
 #: Buckets of likely(): a broadcast of so many longs at most (8 MB).

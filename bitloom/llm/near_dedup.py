@@ -1,15 +1,18 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 1. Sketch: a document's distinct 5-word shingles give a signature of 60 minimum hashes cut to 16 bits each.
-   Documents with equal shingle sets are one node from here on.
 2. Multi-index: the signature is split into 10 chunks of 6 symbols. If two signatures differ in at most 19 symbols,
    some chunk has at most one error (pigeonhole). Each chunk is posted under its 6 allowed errors (one symbol
    masked), so all such pairs meet in a bucket. With two errors or more in every chunk, and so missed, are one in
    10**6 of the pairs of similarity 0.85, and one in 40,000 at 0.8.
 3. Buckets: members are compared on whole signatures, in blocks of 256 so that no task gets a whole hot bucket, and
    only a spanning forest of a task's pairs within FAR symbols goes on: never all pairs.
-4. Confirm: each candidate cluster's shingle sets are intersected exactly, again in blocks, as a product of
-   0/1 matrices, and a spanning forest of the true links goes on. Components of those are the result.
+4. Confirm, on the words themselves: each document meets its least and its greatest neighbour in that forest, one row
+   with two texts each. Documents that these true links join are one from here on. Only where a candidate cluster still
+   falls into several parts are the parts' documents compared with each other, again in blocks, and a pair of blocks
+   of one part is left out. Components of the true links are the result.
+
+Documents with the same words (SHA-256 of them, ASCII letters lower-cased) are one node from the start.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bitloom.llm.common import Forest, components, likely, stored, whole_groups, without
-from bitloom.llm.rolling import Roller, Words, batches, mix, stream
+from bitloom.llm.rolling import Roller, Words, batches, digests, mix, stream
 
 SHINGLE = 5
 SYMBOLS, CHUNK = 60, 6
@@ -62,12 +65,11 @@ def sketch_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 every = np.concatenate([*sets, np.zeros(0, U)])
                 at = (np.cumsum(sizes) - sizes)[has]
                 n = int(has.sum())
-                sig, one, two = np.zeros((n, SYMBOLS), np.uint16), np.zeros(0, U), np.zeros(0, U)
+                sig = np.zeros((n, SYMBOLS), np.uint16)
                 if n:
                     for j in range(SYMBOLS):
                         sig[:, j] = (mix(np.minimum.reduceat(every * odd[j], at)) >> U(48)).astype(np.uint16)
-                    one = np.add.reduceat(mix(every ^ places[0]), at)
-                    two = np.add.reduceat(mix(every ^ places[1]), at)
+                same = digests(b" ".join(t.lower().split()) for t in texts[s:e])
                 # a chunk's key under one error: the sum over its other symbols, told apart by chunk and masked place
                 value = mix(sig.astype(U) + places[None, :])
                 chunk = value.reshape(n, -1, CHUNK).sum(axis=2, dtype=U)
@@ -77,15 +79,15 @@ def sketch_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pick = lambda values: [None if r is None else values[r] for r in which]  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(s, e - s), pa.array(sizes, pa.int64()),
-                    pa.array(pick(one.view(np.int64).tolist()), pa.int64()), pa.array(pick(two.view(np.int64).tolist()), pa.int64()),
+                    pa.array(same[:, 0], mask=~has), pa.array(same[:, 1], mask=~has),
                     pa.array([None if r is None else sig[r].tobytes() for r in which], pa.binary()),
                     pa.array([None if r is None else keys[r].view(np.int64) for r in which], pa.list_(pa.int64())),
-                ], names=["doc_id", "n_shingles", "set1", "set2", "sig", "keys"])
+                ], names=["doc_id", "n_shingles", "same1", "same2", "sig", "keys"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit hash, signature and bucket keys of every document."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch_batches, "doc_id long, n_shingles long, set1 long, set2 long, sig binary, keys array<long>")
+    """doc_id, n_shingles, the words' 128-bit digest, signature and bucket keys of every document."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch_batches, "doc_id long, n_shingles long, same1 long, same2 long, sig binary, keys array<long>")
 
 
 def bucket_edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,13 +112,47 @@ def bucket_edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def true_links(sets: list[np.ndarray], one: np.ndarray, other: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one x other whose sets meet 100 * intersection >= percent * union."""
-    which = np.concatenate([one, other])
-    flat = np.concatenate([sets[i] for i in which])
-    row = np.repeat(np.arange(len(which)), [len(sets[i]) for i in which])
-    _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = times[col] > 1
+def words_of(text: bytes | None) -> tuple[set, int]:
+    """The exact 5-word shingles of a text, as tuples of words, and their number."""
+    w = (text or b"").lower().split()
+    out = set(zip(*(w[i:] for i in range(SHINGLE)), strict=False)) if len(w) >= SHINGLE else {tuple(w)} if w else set()
+    return out, len(out)
+
+
+def true_pairs(percent: int):
+    """Of rows (a, one, b, other), two ids and their texts: the ids whose sets meet 100 * intersection >= percent * union."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes | None, tuple] = (None, words_of(None))
+        for batch in it:
+            keep = []
+            for one, other in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                # neighbours that many rows share stand together
+                last = last if last[0] == other else (other, words_of(other))
+                (x, n), (y, m) = words_of(one), last[1]
+                both = len(x & y) if 100 * min(n, m) >= percent * max(n, m) else 0
+                keep.append(100 * both >= percent * (n + m - both) and both > 0)
+            yield batch.select([0, 2]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def true_links(sets: list[set], one: list[int], other: list[int], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of one x other whose sets meet 100 * intersection >= percent * union, as a product of 0/1 matrices."""
+    which = [*one, *other]
+    number: dict = {}
+    times: list[int] = []
+    col = []
+    for i in which:
+        for shingle in sets[i]:
+            j = number.setdefault(shingle, len(times))
+            if j == len(times):
+                times.append(0)
+            times[j] += 1
+            col.append(j)
+    size = np.array([len(sets[i]) for i in which])
+    row, col = np.repeat(np.arange(len(which)), size), np.array(col, np.int64)
+    keep = np.array(times)[col] > 1 if len(col) else np.zeros(0, bool)
     row, col = row[keep], np.unique(col[keep], return_inverse=True)[1]
     shared = np.zeros((len(one), len(other)), np.float32)
     width = int(col.max()) + 1 if len(col) else 0
@@ -126,29 +162,32 @@ def true_links(sets: list[np.ndarray], one: np.ndarray, other: np.ndarray, perce
         m[row[part], col[part] - lo] = 1
         shared += m[: len(one)] @ m[len(one) :].T
     inter = np.rint(shared).astype(np.int64)
-    size = np.array([len(sets[i]) for i in which])
     union = size[: len(one), None] + size[None, len(one) :] - inter
-    i, j = np.nonzero(100 * inter >= percent * union)
-    return one[i], other[j]
+    for i, j in zip(*np.nonzero((100 * inter >= percent * union) & (inter > 0)), strict=True):
+        yield one[i], other[j]
 
 
 def confirmed(percent: int):
+    """Of block pairs of clusters (cluster, x, y, block, id, part, text): a spanning forest of the true links."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, trees = Roller(5), Forest()
+        trees = Forest()
         for t, offsets in whole_groups(it, ["cluster", "x", "y"]):
             a, b = [], []
             for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 g = t.slice(s, e - s)
-                ids, block = g.column("id").to_pylist(), g.column("block").to_numpy()
-                sets = list(shingle_sets(encoded(g.column("text")), roller))
+                ids, part, block = g.column("id").to_pylist(), g.column("part").to_pylist(), g.column("block").to_numpy()
                 x, y = g.column("x")[0].as_py(), g.column("y")[0].as_py()
-                one, other = np.flatnonzero(block == x), np.flatnonzero(block == y)
-                if len(one) and len(other):
-                    left, right = true_links(sets, one, other, percent)
-                    for i, j in zip(left.tolist(), right.tolist(), strict=True):
-                        if trees.joins(ids[i], ids[j]):
-                            a.append(ids[i])
-                            b.append(ids[j])
+                one, other = np.flatnonzero(block == x).tolist(), np.flatnonzero(block == y).tolist()
+                if not one or not other or len({part[i] for i in (*one, *other)}) == 1:
+                    continue
+                for i, p in zip(ids, part, strict=True):
+                    trees.joins(i, p)
+                sets = [words_of(x)[0] for x in encoded(g.column("text"))]
+                for i, j in true_links(sets, one, other, percent):
+                    if trees.joins(ids[i], ids[j]):
+                        a.append(ids[i])
+                        b.append(ids[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
@@ -172,29 +211,45 @@ def cluster(docs: DataFrame, percent: int = 85) -> DataFrame:
     Links join documents whose sets of distinct 5-word shingles (ASCII letters lower-cased) meet
     100 * intersection >= percent * union; component_id is the least doc_id reachable by links, kept marks that document.
     Null or wordless texts have no shingles, link with nothing and are kept. Rows with a null doc_id stay, with a null
-    component_id, and are kept; rows of one doc_id stay, one node together that links by any of their texts. Other columns
+    component_id, and are kept; rows of one doc_id stay, one node together that links by any of their texts. An empty
+    table gives no rows. Very long texts are taken whole, one at a time. A doc_id must be a whole number. Other columns
     are not read.
     """
     sk = stored(sketches(docs), "sketches")
-    reps = stored(sk.where("n_shingles > 0 and doc_id is not null").groupBy("set1", "set2").agg(F.min("doc_id").alias("rep")), "reps")
-    nodes = sk.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "set1"])
+    reps = stored(sk.where("n_shingles > 0 and doc_id is not null").groupBy("same1", "same2").agg(F.min("doc_id").alias("rep")), "reps")
+    nodes = sk.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "same1", "same2"])
     posted = nodes.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
     many = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = stored(posted.join(many, "key"), "members")
     pairs = block_pairs(members, "key", "members").join(nodes.select(F.col("doc_id").alias("id"), "sig"), "id")
-    near = dealt(pairs.select("key", "x", "y", "block", "id", "sig"), "key").mapInArrow(bucket_edges, "a long, b long")
+    near = stored(dealt(pairs.select("key", "x", "y", "block", "id", "sig"), "key").mapInArrow(bucket_edges, "a long, b long").distinct(), "near")
     clusters = stored(components(near).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
-    sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster")
-    texts = likely(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", clusters.select("id")).join(sized, "id").dropDuplicates(["id", "text"])
-    links = dealt(block_pairs(texts, "cluster", "members").select("cluster", "x", "y", "block", "id", "text"), "cluster").mapInArrow(confirmed(percent), "a long, b long")
-    found = components(links)
-    whole = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set1", "set2", F.coalesce("component", "rep").alias("c"))
-    out = sk.select("doc_id", "n_shingles", "set1", "set2").join(whole, ["set1", "set2"], "left")
+    # texts of the candidates alone, all of those that stand under one doc_id
+    texts = likely(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", clusters.select("id")).join(clusters, "id").dropDuplicates(["id", "text"])
+    texts = stored(texts, "texts")
+    ends = near.select("a", "b").union(near.select("b", "a"))
+    neighbours = ends.groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most"))
+    met = neighbours.select("a", F.explode(F.array_distinct(F.array("least", "most"))).alias("b"))
+    rows = met.join(texts.select(F.col("id").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("other")), "b")
+    first = stored(rows.select("a", "one", "b", "other").mapInArrow(true_pairs(percent), "a long, b long").distinct(), "first")
+    parts = components(first).withColumnRenamed("node", "id").withColumnRenamed("component", "part")
+    parts = stored(clusters.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "parts")
+    # clusters of two have been compared whole
+    open_ = parts.groupBy("cluster").agg(F.count("*").alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high and members > 2").drop("low", "high")
+    rest = texts.join(parts.drop("cluster"), "id").join(open_, "cluster")
+    links = dealt(block_pairs(rest, "cluster", "members").select("cluster", "x", "y", "block", "id", "part", "text"), "cluster").mapInArrow(confirmed(percent), "a long, b long")
+    found = components(first.select("a", "b").union(links))
+    whole = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("same1", "same2", F.coalesce("component", "rep").alias("c"))
+    out = sk.select("doc_id", "n_shingles", "same1", "same2").join(whole, ["same1", "same2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of docs that stay when each group of near copies keeps its least doc_id; rows with a null doc_id stay."""
+    """The rows of docs that stay when each group of near copies keeps its least doc_id, with docs' own columns.
+
+    Rows with a null doc_id stay, and so do those without words; of rows that share a doc_id all go or all stay. An empty
+    table gives no rows.
+    """
     dropped = stored(cluster(docs, percent).where("not kept").select("doc_id"), "dropped")
     return without(docs, "doc_id", dropped)

@@ -107,6 +107,29 @@ def test_near_dedup_large_group(spark):
     assert {r.doc_id for r in got} == {0, *range(1000, 1050)}
 
 
+def test_structured_texts_are_not_taken_for_each_other(spark):
+    """Thue-Morse words and their complements, which many polynomial hashes can't tell apart, share nothing."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(4096))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join(f"{one}{i}" for i in range(60))), (2, " ".join(f"{other}{i}" for i in range(60)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.dedup(df).collect()
+    assert all((r.n_words, r.n_removed, r.kept_sha256) == (60, 0, sha(dict(rows)[r.doc_id])) for r in got) and len(got) == 2
+    assert {(r.doc_id, r.component_id) for r in near_dedup.cluster(df).collect()} == {(1, 1), (2, 2)}
+
+
+def test_near_dedup_across_parts(spark):
+    """Two groups whose least and greatest neighbours aren't linked, and one document that links both."""
+    base = prose(41, 300, 5000).split()
+    edit = lambda at: " ".join("new%d" % i if i in at else w for i, w in enumerate(base))
+    rows = [(1, edit(range(0, 18))), (2, edit(range(150, 168))), (3, edit(range(280, 298))), (4, " ".join(base)), (5, edit(range(60, 120)))]
+    sets = {i: set(zip(*(low(t).split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert linked == {(1, 4), (2, 4), (3, 4)}
+    got = {r.doc_id: r.component_id for r in near_dedup.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+
+
 def test_decontamination(spark, docs, empty, monkeypatch):
     passage = prose(2, 60)
     items = [(1, passage), (2, prose(3, 49).upper()), (3, "one two three"), (4, None), (5, "..."), (6, "absent words of ten or more that are nowhere in the corpus"), (7, prose(3, 49)), (None, passage)]
