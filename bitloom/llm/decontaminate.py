@@ -1,10 +1,14 @@
 """Benchmark decontamination over a distributed positional inverted index, in DataFrame operations only.
 
-Every test window looks up its rarest term (by corpus count) and meets only that term's postings. An occurrence at
-position p proposes the window start p - offset, and the window matches if all its other terms' offset-adjusted
-positions agree, which is one comparison with the document's own tokens from that start while the posting is made.
-So nothing but true matches is shuffled. Test sets above BROADCAST_WINDOWS are not broadcast: they meet a postings
-table by shuffled joins, rarest term first, then second rarest, then all others.
+1. Index: one pass over the documents stores a posting (term, document, position) for each word that a test item has, and
+   one that tells each document's number of words. Postings of a task make one file; no posting is shuffled for it.
+2. Intersect: a test window proposes a start, position less offset, for each posting of its rarest term. Starts are
+   intersected with the postings of the second rarest term by shuffled joins, and only what is left meets the lists of
+   all other terms, in the documents that still have a start.
+3. A start at which every term stands at its offset is an exact phrase. One around which every term stands within `slop`
+   words of the window's extent is a proximity match.
+
+A document is known by two hashes of its id and text, so nothing hangs on numbers that another run could deal otherwise.
 """
 
 from __future__ import annotations
@@ -12,14 +16,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import stored, without
+from bitloom.llm.common import likely, stored, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words, once A-Z are lower-cased: all ASCII but digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: More test windows than this (about 200 bytes each) are not broadcast.
-BROADCAST_WINDOWS = 100_000
+#: Proximity matches reach so many words beyond a window's extent on either side.
+SLOP = 3
+#: What a stored table may hold, in bytes, to be broadcast; larger ones are joined by shuffles.
+BROADCAST = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if its stored files are no more than BROADCAST bytes."""
+    return F.broadcast(df) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST else df
 
 
 def tokens(text: Column) -> Column:
@@ -34,89 +45,126 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return t.select("item_id", F.slice("t", F.col("i"), F.lit(size)).alias("win")).distinct().withColumn("len", F.size("win"))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """term, n: occurrences of each of the terms in all documents."""
-    every = docs.select(F.explode_outer(tokens(F.col("text"))).alias("term"))
-    return every.join(F.broadcast(terms) if small else terms, "term").groupBy("term").agg(F.count("*").alias("n"))
+KEY = ("k1", "k2")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2, text: rows of equal id and text have equal keys."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(text, F.lit(7), "doc_id").alias("k2"), "text")
+
 
+def postings(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """The stored index: term, k1, k2, pos (from 1) of each word of docs among `words` (word, term); and for each row of
+    docs a posting of term 0 with its doc_id, whose position is its number of words."""
+    t = keyed(docs).select("doc_id", *KEY, F.concat(F.array(F.lit("")), tokens(F.col("text"))).alias("t"))
+    each = t.select("doc_id", *KEY, (F.size("t") - 1).alias("n"), F.posexplode("t").alias("at", "word"))
+    head = F.col("at") == 0
+    post = each.join(bounded(words), "word").select("term", *KEY, F.when(head, F.col("n")).otherwise(F.col("at")).alias("pos"), F.when(head, F.col("doc_id")).alias("doc_id"))
+    return stored(post, "postings")
 
-def anchors(wins: DataFrame, counts: DataFrame, rank: int = 1) -> DataFrame:
-    """Each window with its rarest term and that term's offset; those with a term the corpus lacks are gone."""
-    terms = wins.select("item_id", "win", "len", F.posexplode("win").alias("off", "term")).join(counts, "term", "left")
-    best = terms.groupBy("item_id", "win", "len").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term"))).alias("by"))
-    best = best.where(F.col("by")[0]["n"] > 0)
-    pick = lambda i: F.col("by")[F.least(F.lit(i), F.size("by") - 1)]
-    return best.select("item_id", "win", "len", *(c.alias(a) for i in range(rank) for c, a in ((pick(i)["term"], f"term{i}"), (pick(i)["off"], f"off{i}"))))
 
+def lists(wins: DataFrame, words: DataFrame, post: DataFrame) -> DataFrame:
+    """win, item_id, len, by: each window's (n, off, term), rarest first; windows with a term that no document has are gone."""
+    counts = stored(post.where("term > 0").groupBy("term").agg(F.count("*").alias("n")), "counts")
+    terms = wins.select("item_id", "win", "len", F.posexplode("win").alias("off", "word")).join(words, "word").join(counts, "term")
+    by = terms.groupBy("item_id", "win", "len").agg(F.sort_array(F.collect_list(F.struct("n", "off", "term"))).alias("by")).where(F.size("by") == F.col("len"))
+    return stored(by.select(F.xxhash64("item_id", "win").alias("id"), F.xxhash64("win", F.lit(3), "item_id").alias("id2"), "item_id", "len", "by"), "lists")
 
-def posted(docs: DataFrame, *keep: str) -> DataFrame:
-    """term, pos (from 1) and the document's words `t` for each word, with an empty term at 0 for each document."""
-    t = docs.select(*keep, F.concat(F.array(F.lit("")), tokens(F.col("text"))).alias("t"))
-    return t.select(*keep, "t", F.posexplode_outer("t").alias("pos", "term"))
 
+def near(post: DataFrame, low: Column, high: Column, width: int) -> tuple[DataFrame, Column]:
+    """post with `slot`, and the slots of the positions from low to high, an extent of at most `width` words."""
+    slot = lambda c: F.floor(c / width).cast("long")
+    return post.withColumn("slot", slot(F.col("pos"))).select("term", *KEY, "slot", "pos"), F.explode(F.sequence(slot(low), slot(high)))
 
-def occurrences(docs: DataFrame, items: DataFrame, key: str = "doc_id", size: int = WINDOW, slop: int | None = None) -> DataFrame:
-    """key, n_words, start, len, item_id: a row for each occurrence of a window, and one of each document with len 0.
 
-    slop None: exact phrases. Else proximity: all words of the window stand within slop words of its extent around
-    its rarest term. Starts count words from 1.
+def intersected(post: DataFrame, by: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
+    """k1, k2, id, id2, item_id, len, start, exact: the windows' matches; with slop 0 the exact ones only.
+
+    Each join is by equality on document, term and place: the position itself, or a slot of as many positions as a
+    window's extent with its slop, of which an extent touches two at most.
     """
-    wins = stored(windows(items, size), "windows")
-    small = wins.count() <= BROADCAST_WINDOWS
-    counts = term_counts(docs, wins.select(F.explode("win").alias("term")).distinct(), small)
-    if not small and slop is None:
-        return by_index(docs, wins, counts, key)
-    found = stored(anchors(wins, counts), "anchors").select("item_id", "win", "len", F.col("term0").alias("term"), F.col("off0").alias("off"))
-    each = docs.sparkSession.createDataFrame([(None, None, 0, "", 0)], found.schema)
-    at = found.unionByName(each)
-    start = F.col("pos") - F.col("off")
-    if slop is None:
-        same = F.when(start >= 1, F.slice("t", start + 1, F.col("len")) == F.col("win"))
+    mine = ("id", "id2", "len")
+    word = post.where("term > 0").drop("doc_id")
+    best = by.select(*mine, *(F.col("by")[F.least(F.lit(i), F.size("by") - 1)][f].alias(f"{f}{i}") for i in (0, 1) for f in ("term", "off")))
+    start = F.col("pos") - F.col("off0")
+    first = word.join(bounded(best), F.col("term") == F.col("term0")).select(*KEY, *mine, start.alias("start"), "term1", "off1")
+    wanted = by.select(F.explode("by.term").alias("term"))
+    second = word.join(bounded(stored(best.select(F.col("term1").alias("term")).distinct(), "seconds")), "term", "left_semi")
+    reach = F.col("start") - slop, F.col("start") + F.col("len") - 1 + slop
+    if slop:
+        placed, slots = near(second, *reach, size + 2 * slop)
+        cand = first.withColumn("slot", slots).join(placed.withColumnRenamed("term", "term1"), [*KEY, "term1", "slot"]).where(F.col("pos").between(*reach))
+    else:
+        cand = first.where("start >= 1").withColumn("pos", F.col("start") + F.col("off1")).join(second.withColumnRenamed("term", "term1"), [*KEY, "term1", "pos"], "left_semi")
+    cand = stored(cand.select(*KEY, *mine, "start").distinct(), "starts")
+    rest = likely(word, "k1", cand.select("k1")).join(bounded(stored(wanted.distinct(), "terms")), "term", "left_semi")
+    need = cand.join(by.select("id", "id2", F.explode("by").alias("b")), ["id", "id2"]).select(*KEY, *mine, "start", "b.off", "b.term")
+    if slop:
+        placed, slots = near(rest, *reach, size + 2 * slop)
+        met = need.withColumn("slot", slots).join(placed, [*KEY, "term", "slot"]).where(F.col("pos").between(*reach))
     else:
-        start = F.greatest(F.col("pos") - F.col("off") - slop, F.lit(1))
-        same = F.size(F.array_except("win", F.slice("t", start + 1, F.col("len") + 2 * slop))) == 0
-    hits = posted(docs, key).join(F.broadcast(at) if small else at, "term").where((F.col("len") == 0) | same)
-    return hits.select(key, (F.size("t") - 1).cast("long").alias("n_words"), start.cast("int").alias("start"), "len", "item_id")
-
-
-def by_index(docs: DataFrame, wins: DataFrame, counts: DataFrame, key: str) -> DataFrame:
-    """occurrences() for a test set of any size: list intersections as shuffled joins over a stored postings table."""
-    index = posted(docs, key).select(key, "term", "pos", F.when(F.col("pos") == 0, F.size("t") - 1).cast("long").alias("n_words"))
-    wanted = wins.select(F.explode("win").alias("term")).distinct()
-    each = index.where("pos = 0").select(key, "n_words", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("item_id"))
-    post = stored(index.where("pos > 0").join(wanted, "term", "left_semi").select(key, "term", "pos"), "postings")
-    rare = anchors(wins, counts, 2).withColumn("id", F.xxhash64("item_id", "win"))
-    first = post.join(rare, post["term"] == rare["term0"]).select(key, "id", (F.col("pos") - F.col("off0")).alias("start"), "term1", "off1").where("start >= 1")
-    second = post.select(F.col(key), F.col("term").alias("term1"), F.col("pos").alias("p1"))
-    cand = first.withColumn("p1", F.col("start") + F.col("off1")).join(second, [key, "term1", "p1"], "left_semi").select(key, "id", "start")
-    terms = rare.select("id", "item_id", "len", F.posexplode("win").alias("off", "term"))
-    need = cand.join(terms, "id").withColumn("pos", F.col("start") + F.col("off"))
-    full = need.join(post, [key, "term", "pos"], "left_semi").groupBy(key, "id", "start", "len", "item_id").agg(F.count("*").alias("n")).where("n = len")
-    return full.select(key, F.lit(None).cast("long").alias("n_words"), F.col("start").cast("int").alias("start"), "len", "item_id").unionByName(each)
-
-
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """row, doc_id, n_words, n_hit, n_items, items (sorted array of item_ids), contaminated for each row of docs (doc_id, text).
+        met = need.withColumn("pos", F.col("start") + F.col("off")).join(rest, [*KEY, "term", "pos"])
+    there = F.col("pos") == F.col("start") + F.col("off")
+    at = lambda c: F.size(F.collect_set(F.when(c, F.col("off"))))
+    full = met.groupBy(*KEY, *mine, "start").agg(at(F.lit(True)).alias("n"), at(there).alias("m")).where(F.col("n") == F.col("len"))
+    return full.select(*KEY, *mine, "start", (F.col("m") == F.col("len")).alias("exact")).join(by.select("id", "id2", "item_id"), ["id", "id2"])
+
+
+def index(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The postings of docs for the words of items, and the items' windows by rarest term."""
+    wins = stored(windows(items, size), "windows")
+    each = wins.select(F.explode("win").alias("word")).distinct().select("word", (F.monotonically_increasing_id() + 1).alias("term"))
+    none = docs.sparkSession.createDataFrame([("", 0)], "word string, term long")
+    words = stored(each.union(none), "words")
+    post = postings(docs, words)
+    return post, lists(wins, words, post)
+
+
+def heads(post: DataFrame) -> DataFrame:
+    return post.where("term = 0").select("doc_id", *KEY, F.col("pos").cast("long").alias("n_words"))
+
+
+def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
+    """doc_id, start, len, item_id, exact: a row for each match of a window of items in a row of docs.
+
+    slop 0: exact phrases. Else also proximity: all words of the window stand within slop words of its extent around its
+    rarest word. Starts count words from 1. Null texts and items have no words; rows of one doc_id and text each have
+    their own matches; empty tables match nothing. Very long texts are indexed whole. Other columns are not read.
+    """
+    post, by = index(docs, items, size)
+    return intersected(post, by, size, slop).join(heads(post), [*KEY]).select("doc_id", "start", "len", "item_id", "exact")
+
+
+def contamination(docs: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (sorted array of item_ids), contaminated, n_near for each row of docs
+    (doc_id, text).
 
     Words are runs of other than ASCII non-alphanumerics after lower-casing A-Z; a word inside an occurrence of a
-    10-word window of an item (or of a whole shorter item) is hit. Null texts have no words; null or empty tables and
-    items without words hit nothing; repeated rows of docs stay apart. Other columns are not read.
+    10-word window of an item (or of a whole shorter item) is hit. n_near counts the items with a proximity match, exact
+    ones included. Null texts have no words; null or empty tables and items without words hit nothing; repeated rows of
+    docs stay apart. Very long texts are indexed whole. Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id"), "text", F.struct(F.monotonically_increasing_id().alias("i"), F.col("doc_id").alias("d")).alias("row"))
-    hits = occurrences(rows, items, "row")
-    before = Window.partitionBy("row").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
+    post, by = index(docs, items)
+    hits = intersected(post, by, WINDOW, slop)
+    before = Window.partitionBy(*KEY).orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("len")
-    spans = hits.withColumn("new", F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(F.max(end).over(before), F.lit(0)))))
-    agg = spans.groupBy("row").agg(F.max("n_words").alias("n_words"), F.sum("new").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("items"))
-    return agg.select("row", F.col("row.d").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    exact = hits.where("exact").select(*KEY, "start", "len").distinct()
+    spans = exact.withColumn("new", F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(F.max(end).over(before), F.lit(0)))))
+    hit = spans.groupBy(*KEY).agg(F.sum("new").alias("n_hit"))
+    of = hits.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("items"), F.count_distinct("item_id").alias("n_near"))
+    df = heads(post).join(stored(of.join(hit, [*KEY], "left"), "hits"), [*KEY], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return df.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.size("items") > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    out = contamination(docs, items)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+    """contamination() with the hash of the item_ids in place of their list; same rules."""
+    out = contamination(docs, items, SLOP)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs without any word hit; of rows that share a doc_id all go if one is hit. Null ids stay."""
+    """The rows of docs without any word hit, with docs' own columns; of rows that share a doc_id all go if one is hit.
+    Null ids and texts stay; empty tables and items without words drop nothing."""
     hit = stored(contamination(docs, items).where("contaminated and doc_id is not null").select("doc_id"), "hit")
     return without(docs, "doc_id", hit)

@@ -29,8 +29,14 @@ sizes AS (SELECT DISTINCT z FROM iw),
 dw AS (SELECT doc_id, s, z, array_to_string(w[s:s + z - 1], ' ') g FROM (SELECT doc_id, w, z, unnest(range(1, len(w) - z + 2)) s FROM d, sizes WHERE len(w) >= z)),
 hit AS (SELECT doc_id, s, z, item_id FROM dw JOIN iw USING (g, z)),
 cov AS (SELECT doc_id, count(DISTINCT p) n FROM (SELECT doc_id, unnest(range(s, s + z)) p FROM hit) GROUP BY doc_id),
-its AS (SELECT doc_id, count(*) k, string_agg(item_id, ',' ORDER BY item_id) l FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n, 0) n_hit, coalesce(k, 0) n_items, sha256(coalesce(l, '')) items_sha256, coalesce(n, 0) > 0 contaminated FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)"""
+its AS (SELECT doc_id, count(*) k, string_agg(item_id, ',' ORDER BY item_id) l FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id),
+tok AS (SELECT doc_id, unnest(range(1, len(w) + 1)) p, unnest(w) t FROM d),
+cnt AS (SELECT t, count(*) n FROM tok GROUP BY t),
+arr AS (SELECT DISTINCT item_id, w[k:k + 9] a FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) k FROM i WHERE len(w) > 0)),
+each AS (SELECT item_id, a, unnest(range(len(a))) o, unnest(a) t FROM arr),
+rare AS (SELECT item_id, a, arg_min({{'t': t, 'o': o}}, n * 100 + o) r FROM each JOIN cnt USING (t) GROUP BY item_id, a HAVING count(*) = len(a)),
+near AS (SELECT d.doc_id, count(DISTINCT item_id) n_near FROM rare JOIN tok ON tok.t = r.t JOIN d USING (doc_id) WHERE list_has_all(w[greatest(1, p - r.o - 3):greatest(0, p - r.o + len(a) + 2)], a) GROUP BY d.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n, 0) n_hit, coalesce(k, 0) n_items, sha256(coalesce(l, '')) items_sha256, coalesce(n, 0) > 0 contaminated, coalesce(n_near, 0) n_near FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 OP10 = f"""WITH RECURSIVE d AS (SELECT doc_id, {_words(_LOW, _SPACE)} w FROM documents),
 sh AS (SELECT DISTINCT doc_id, md5(array_to_string(w[s:s + 4], ' ')) g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) s FROM d WHERE len(w) > 0)),

@@ -148,13 +148,13 @@ def test_decontamination(spark, docs, empty, monkeypatch):
                     hit |= set(range(a, a + size))
                     found |= m
         want[i, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)] += 1
-    assert table(decontaminate.report(docs, bench)) == want
+    assert table(decontaminate.report(docs, bench).drop("n_near")) == want
     assert decontaminate.report(empty, bench).count() == 0
     assert not decontaminate.report(docs, bench.limit(0)).where("contaminated").count()
     left = decontaminate.clean(docs, bench)
     assert left.columns == docs.columns and Counter(r.doc_id for r in left.collect()) == Counter(i for (i, *_, bad), n in want.items() if not bad or i is None for _ in range(n))
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
-    assert table(decontaminate.report(docs, bench)) == want
+    monkeypatch.setattr(decontaminate, "BROADCAST", 0)
+    assert table(decontaminate.report(docs, bench).drop("n_near")) == want
 
 
 def test_proximity(spark):
@@ -164,6 +164,31 @@ def test_proximity(spark):
     assert {r.doc_id for r in near.collect()} == {1, 2}
 
 
+def test_proximity_by_definition(spark):
+    """Starts, exactness and proximity of every window, against a search of each document around its rarest word."""
+    import random
+
+    r = random.Random(12)
+    docs = [(i, " ".join(r.choice("abcdefghij") for _ in range(r.randrange(60)))) for i in range(40)] + [(5, "a b c"), (5, "a b c"), (None, "c b a"), (41, None)]
+    items = [(1, "a b c"), (2, "j i h g"), (3, "a a b"), (4, "e"), (5, "a b zebra")]
+    count = Counter(w for _, t in docs for w in (t or "").split())
+    want = Counter()
+    for slop in (0, 2):
+        for i, t in docs:
+            w = (t or "").split()
+            for k, text in items:
+                win = text.split()
+                off = min(range(len(win)), key=lambda o: (count[win[o]], o))
+                for p in [p for p, x in enumerate(w, 1) if x == win[off]]:
+                    s = p - off
+                    exact = s >= 1 and w[s - 1 : s - 1 + len(win)] == win
+                    if exact or slop and set(win) <= set(w[max(0, s - slop - 1) : s + len(win) - 1 + slop]):
+                        want[slop, i, s, len(win), str(k), exact] += 1
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sum((Counter((slop, *x) for x in decontaminate.occurrences(d, b, slop=slop).collect()) for slop in (0, 2)), Counter())
+    assert got == want
+
+
 def test_syncmers(docs, empty):
     rows = sorted(texts(), key=lambda r: r[1] or "", reverse=True)
     rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
