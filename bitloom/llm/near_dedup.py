@@ -1,16 +1,16 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 1. Sketch: a document's distinct 5-word shingles give a signature of 60 minimum hashes cut to 16 bits each.
-2. Multi-index: the signature is split into 10 chunks of 6 symbols. If two signatures differ in at most 19 symbols,
-   some chunk has at most one error (pigeonhole). Each chunk is posted under its 6 allowed errors (one symbol
-   masked), so all such pairs meet in a bucket. With two errors or more in every chunk, and so missed, are one in
-   10**6 of the pairs of similarity 0.85, and one in 40,000 at 0.8.
-3. Buckets: members are compared on whole signatures, in blocks of 256 so that no task gets a whole hot bucket, and
-   only a spanning forest of a task's pairs within FAR symbols goes on: never all pairs.
+2. Multi-index: the signature is split into 15 chunks of 4 symbols. If two signatures differ in at most 29 symbols,
+   some chunk has at most one error (pigeonhole). Each chunk is posted under its 4 allowed errors (one symbol
+   masked), so all such pairs meet in a bucket, and with them every pair within the threshold FAR.
+3. Buckets: members are compared on whole signatures. In a bucket of more than 256 each first meets the bucket's head;
+   those near it are one tree already, so only the others are compared with all, in blocks of 256 so that no task gets
+   a whole hot bucket. Only a spanning forest of a task's pairs within FAR symbols goes on: never all pairs.
 4. Confirm, on the words themselves: each document meets its least and its greatest neighbour in that forest, one row
    with two texts each. Documents that these true links join are one from here on. Only where a candidate cluster still
-   falls into several parts are the parts' documents compared with each other, again in blocks, and a pair of blocks
-   of one part is left out. Components of the true links are the result.
+   falls into several parts are the parts' documents compared with each other, again in blocks; two documents of a large
+   cluster's greatest part are not. Components of the true links are the result.
 
 Documents with the same words (SHA-256 of them, ASCII letters lower-cased) are one node from the start.
 """
@@ -28,7 +28,7 @@ from bitloom.llm.common import Forest, components, likely, stored, whole_groups,
 from bitloom.llm.rolling import Roller, Words, batches, digests, mix, stream
 
 SHINGLE = 5
-SYMBOLS, CHUNK = 60, 6
+SYMBOLS, CHUNK = 60, 4
 #: Signature distance within which a pair is confirmed on full sets; at similarity 0.8 a farther pair is one in 10**6.
 FAR = 27
 BLOCK = 256
@@ -193,12 +193,40 @@ def confirmed(percent: int):
     return run
 
 
-def block_pairs(df: DataFrame, group: str, count: str) -> DataFrame:
-    """Deal the members of each group out to pairs (x, y) of blocks of about BLOCK members; x = y within a block."""
-    n = F.ceil(F.col(count) / BLOCK).cast("int")
-    df = df.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("n")).cast("int"))
-    df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return df.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+def block_pairs(df: DataFrame, group: str) -> DataFrame:
+    """Deal the members of each group (group, id, members, main) out to pairs (x, y) of blocks of about BLOCK members;
+    x = y within a block.
+
+    Members marked `main` are in one tree already and have blocks of their own: those meet the other members' blocks only,
+    so a group with few others makes rows in proportion to its members. Groups of up to BLOCK have no main members.
+    """
+    few = df.where(F.col("members") <= BLOCK).withColumns({n: F.lit(0) for n in ("block", "x", "y")})
+    many = df.where(F.col("members") > BLOCK)
+    blocks = lambda which: F.ceil(F.count_if(which) / BLOCK).cast("int")
+    sizes = many.groupBy(group).agg(blocks(~F.col("main")).alias("others"), blocks(F.col("main")).alias("mains"))
+    spread = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.greatest(n, F.lit(1))).cast("int")
+    many = many.join(sizes, group).withColumn("block", F.when(F.col("main"), F.col("others") + spread(F.col("mains"))).otherwise(spread(F.col("others"))))
+    many = many.withColumn("last", F.col("others") - 1 + F.when(F.col("main"), 0).otherwise(F.col("mains"))).where("last >= 0")
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    many = many.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    return few.unionByName(many.select(*few.columns))
+
+
+def near_head(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, id, members, head, sig, head_sig): the first four and whether the signatures lie within FAR."""
+    for batch in it:
+        one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("sig", "head_sig"))
+        main = pa.array((one != other).sum(axis=1) <= FAR)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], main], names=["key", "id", "members", "head", "main"])
+
+
+def stars(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """key, id, members, head, main for the members of buckets of more than BLOCK: whether each is near its bucket's head."""
+    many = members.where(F.col("members") > BLOCK)
+    heads = many.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(5))).alias("head"))
+    heads = heads.join(sigs.select(F.col("id").alias("head"), F.col("sig").alias("head_sig")), "head")
+    rows = many.join(heads, "key").join(sigs, "id").select("key", "id", "members", "head", "sig", "head_sig")
+    return rows.mapInArrow(near_head, "key long, id long, members long, head long, main boolean")
 
 
 def dealt(df: DataFrame, group: str) -> DataFrame:
@@ -221,8 +249,12 @@ def cluster(docs: DataFrame, percent: int = 85) -> DataFrame:
     posted = nodes.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
     many = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = stored(posted.join(many, "key"), "members")
-    pairs = block_pairs(members, "key", "members").join(nodes.select(F.col("doc_id").alias("id"), "sig"), "id")
-    near = stored(dealt(pairs.select("key", "x", "y", "block", "id", "sig"), "key").mapInArrow(bucket_edges, "a long, b long").distinct(), "near")
+    sigs = nodes.select(F.col("doc_id").alias("id"), "sig")
+    star = stored(stars(members, sigs), "stars")
+    small = members.where(F.col("members") <= BLOCK).select("key", "id", "members", F.lit(False).alias("main"))
+    pairs = block_pairs(small.unionByName(star.drop("head")), "key").join(sigs, "id")
+    edges = dealt(pairs.select("key", "x", "y", "block", "id", "sig"), "key").mapInArrow(bucket_edges, "a long, b long")
+    near = stored(edges.union(star.where("main and id <> head").select("head", "id")).distinct(), "near")
     clusters = stored(components(near).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
     # texts of the candidates alone, all of those that stand under one doc_id
     texts = likely(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", clusters.select("id")).join(clusters, "id").dropDuplicates(["id", "text"])
@@ -235,9 +267,10 @@ def cluster(docs: DataFrame, percent: int = 85) -> DataFrame:
     parts = components(first).withColumnRenamed("node", "id").withColumnRenamed("component", "part")
     parts = stored(clusters.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "parts")
     # clusters of two have been compared whole
-    open_ = parts.groupBy("cluster").agg(F.count("*").alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high and members > 2").drop("low", "high")
-    rest = texts.join(parts.drop("cluster"), "id").join(open_, "cluster")
-    links = dealt(block_pairs(rest, "cluster", "members").select("cluster", "x", "y", "block", "id", "part", "text"), "cluster").mapInArrow(confirmed(percent), "a long, b long")
+    sizes = parts.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("cluster").agg(F.sum("n").alias("members"), F.count("*").alias("parts"), F.max_by("part", F.struct("n", "part")).alias("greatest")).where("parts > 1 and members > 2")
+    rest = texts.join(parts.drop("cluster"), "id").join(open_, "cluster").withColumn("main", (F.col("members") > BLOCK) & (F.col("part") == F.col("greatest")))
+    links = dealt(block_pairs(rest.select("cluster", "id", "part", "text", "members", "main"), "cluster").select("cluster", "x", "y", "block", "id", "part", "text"), "cluster").mapInArrow(confirmed(percent), "a long, b long")
     found = components(first.select("a", "b").union(links))
     whole = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("same1", "same2", F.coalesce("component", "rep").alias("c"))
     out = sk.select("doc_id", "n_shingles", "same1", "same2").join(whole, ["same1", "same2"], "left")
