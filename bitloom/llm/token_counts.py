@@ -2,13 +2,15 @@
 
 A long document is cut into chunks that overlap. Each chunk is encoded by the library alone and its pieces laid out
 with offsets. Two neighbours are spliced at a position in their overlap where both have a piece boundary and which is
-proven stable: a space after a non-space. No piece of the vocabulary has a space sign after another character, which
-is checked when the model is loaded, so no merge ever crosses such a place, whatever stands around it. Where an
-overlap holds no such place it is widened, in the end to the rest of the document.
+proven stable: no piece of the vocabulary holds the two characters at it side by side, so no merge ever crosses it,
+whatever stands around it. Such a place needs no space; texts in scripts without spaces have them too. Where an overlap
+holds none, or the pieces don't meet there, it is widened, and then the chunk. Only a text without any stable place, such
+as one letter repeated, is encoded in one piece.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -23,12 +25,16 @@ SIGN = "▁"
 HUGE, CHUNK, OVERLAP = 32_768, 16_384, 256
 
 
-def stable_vocabulary(model: sentencepiece.SentencePieceProcessor) -> bool:
-    """Whether no piece has the space sign after another character, and the text itself is left as it is."""
-    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    mixed = any(SIGN in p.lstrip(SIGN) for p in pieces)
-    probe = "Ａ é  x"
-    return not mixed and "".join(model.encode(probe[:1] + "  x", out_type=str)).endswith(SIGN * 2 + "x")
+def left_alone(model: sentencepiece.SentencePieceProcessor) -> bool:
+    """Whether the model leaves a text itself as it is."""
+    probe = "Ａ  x é"
+    return model.decode(model.encode(probe)) == probe
+
+
+def neighbours(model: sentencepiece.SentencePieceProcessor) -> frozenset[str]:
+    """All pairs of characters that stand side by side in some piece of the vocabulary."""
+    pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_byte(i))
+    return frozenset(p[i : i + 2] for p in pieces for i in range(len(p) - 1))
 
 
 def laid_out(model: sentencepiece.SentencePieceProcessor, chunk: str) -> list[int] | None:
@@ -39,8 +45,9 @@ def laid_out(model: sentencepiece.SentencePieceProcessor, chunk: str) -> list[in
     return ends if ends and ends[-1] == whole else None
 
 
-def splice(model: sentencepiece.SentencePieceProcessor, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Number of tokens of a huge text, from its chunks."""
+def splice(model: sentencepiece.SentencePieceProcessor, text: str, joined: frozenset[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+    """Number of tokens of a huge text, from its chunks; `joined` are the vocabulary's neighbours()."""
+    text = text.replace(" ", SIGN)
     total, start, skip = 0, 0, 0  # skip: pieces of this chunk that the one before has counted
     ready: dict[tuple[int, int], list[int] | None] = {}
 
@@ -50,48 +57,40 @@ def splice(model: sentencepiece.SentencePieceProcessor, text: str, chunk: int =
             ready[begin, end] = laid_out(model, text[begin:end])
         return ready[begin, end]
 
+    def count(begin: int, end: int, at: int) -> int | None:
+        """Pieces of a chunk before a place, if one ends there."""
+        ends, here = ends_of(begin, end), len((SIGN + text[begin:at]).encode())
+        i = -1 if ends is None else bisect_left(ends, here)
+        return i + 1 if ends is not None and i < len(ends) and ends[i] == here else None
+
     while True:
-        end = min(len(text), start + chunk)
-        width = overlap
+        end, width = min(len(text), start + chunk), overlap
         while end < len(text):
             # the next chunk begins `width` before this one's end; find the last stable place well inside both
             low, high = end - width, end - width // 8
-            at = next((i for i in range(high, low + width // 8, -1) if text[i] in " " + SIGN and text[i - 1] not in " " + SIGN), None)
-            if at is not None:
+            at = next((i for i in range(high, low + width // 8, -1) if text[i - 1 : i + 1] not in joined), None)
+            if at is not None and (mine := count(start, end, at)) is not None and (there := count(low, min(len(text), low + chunk), at)) is not None:
                 break
             width *= 2
             if width >= chunk:
-                end, width = min(len(text), end + chunk), overlap if end + chunk < len(text) else width
-        ends = ends_of(start, end)
-        if ends is None:
-            return len(model.encode(text))
+                end, width = min(len(text), end + chunk), overlap
         if end >= len(text):
-            return total + len(ends) - skip
-        place = lambda begin, i: len((SIGN + text[begin:i].replace(" ", SIGN)).encode())
-        here = place(start, at)
-        try:
-            mine = ends.index(here) + 1
-            after = max(low, start + 1)
-            theirs = ends_of(after, min(len(text), after + chunk))
-            there = theirs.index(place(after, at)) + 1 if theirs else None
-        except ValueError:
-            there = None
-        if there is None:
-            return len(model.encode(text))
+            ends = ends_of(start, end)
+            return len(model.encode(text)) if ends is None else total + len(ends) - skip
         total += mine - skip
-        start, skip = after, there
+        start, skip = low, there
 
 
 def counter(path: str):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        stable = stable_vocabulary(model)
+        plain, joined = left_alone(model), neighbours(model)
         for batch in it:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             known: dict[str, int] = {}
             for t in texts:
                 if t not in known:
-                    known[t] = splice(model, t) if stable and len(t) >= HUGE else len(model.encode(t))
+                    known[t] = splice(model, t, joined) if plain and len(t) >= HUGE else len(model.encode(t))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array([known[t] for t in texts], np.int64))], names=["doc_id", "n_tokens"])
 
     return run
@@ -100,7 +99,8 @@ def counter(path: str):
 def counted(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs (doc_id, text), by the model file at `path`.
 
-    Null and empty texts have no bytes and no tokens; null ids and repeated rows stay; an empty table gives no rows.
+    Null and empty texts have no bytes and no tokens; null ids and repeated rows stay; an empty table gives no rows. Very
+    long texts are counted whole, chunk by chunk.
     Other columns are not read.
     """
     size = F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).cast("long")
