@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import fresh, stored
+from bitloom.llm.common import stored
 
 #: Blocks of each old shard: with the shards they bound what the driver sees and what is broadcast.
 BLOCKS = 256
@@ -108,8 +108,10 @@ def plan(docs: DataFrame, old: Column, shards: int, extra: tuple[str, ...] = ())
     ids like others; repeated rows are placed apart; an empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
-    block = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(BLOCKS)).cast("int")
-    sized = docs.select("doc_id", size_of(F.col("text")).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.coalesce(old.cast("int"), F.lit(0)).alias("old"), block.alias("block"), *extra)
+    crc = F.crc32(F.encode(text, "UTF-8"))
+    # by id and text, so that rows of one id (or of none) are spread over the blocks too
+    block = F.pmod(F.xxhash64("doc_id", crc, F.lit(23)), F.lit(BLOCKS)).cast("int")
+    sized = docs.select("doc_id", size_of(F.col("text")).alias("size"), crc.alias("text_crc32"), F.coalesce(old.cast("int"), F.lit(0)).alias("old"), block.alias("block"), *extra)
     sized = stored(sized, "sizes")
     blocks = {(r.old, r.block): r.n for r in sized.groupBy("old", "block").agg(F.sum("size").alias("n")).collect()}
     supply = [0] * (max((o for o, _ in blocks), default=-1) + 1)
@@ -153,14 +155,11 @@ def rewrite(docs: DataFrame, path: str) -> DataFrame:
 
 
 def reshard(docs: DataFrame, old: Column, shards: int) -> DataFrame:
-    """docs with size, text_crc32, old, shard and slot (in place of columns of those names), copies of a row kept apart."""
+    """docs with size, text_crc32, old, shard and slot (in place of columns of those names), by the rules of plan().
+
+    Each row is placed with all its columns, so rows of one doc_id, or of none, need not be found again: copies and null
+    ids stay as they are. An empty table gives no rows; very long texts move whole.
+    """
     mine = ("size", "text_crc32", "old", "shard", "slot")
-    placed = plan(docs, old, shards)
-    docs = docs.drop(*mine)
-    nth, mth, id_ = (fresh(docs, n) for n in ("nth", "mth", "id_"))
-    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    numbered = docs.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(crc)))
-    placed = placed.withColumn(mth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text_crc32"))).withColumnRenamed("doc_id", id_)
-    # rows of one doc_id are told apart by their numbers; as no equality, so that the join keeps the windows' partitioning
-    out = numbered.join(placed, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.abs(F.col(nth) - F.col(mth)) < 1))
-    return out.select(*docs.columns, *mine)
+    rows = docs.select("doc_id", "text", old.alias("old"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in mine)).alias("row"))
+    return plan(rows, F.col("old"), shards, ("row",)).select("row.*", *mine)
