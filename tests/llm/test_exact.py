@@ -118,6 +118,24 @@ def test_structured_texts_are_not_taken_for_each_other(spark):
     assert {(r.doc_id, r.component_id) for r in near_dedup.cluster(df).collect()} == {(1, 1), (2, 2)}
 
 
+def test_pairs_of_blocks(spark):
+    """Every pair of members that aren't both main meets in some pair of blocks, and rows stay few."""
+    n, others = 20_000, 300
+    df = spark.range(n).select(F.lit(1).cast("long").alias("key"), "id", F.lit(n).cast("long").alias("members"), (F.col("id") >= others).alias("main"))
+    rows = near_dedup.block_pairs(df, "key").collect()
+    assert len(rows) <= 2 * n + others * (n // near_dedup.BLOCK + 4)
+    met = defaultdict(lambda: (set(), set()))
+    for r in rows:
+        for side, at in ((0, r.x), (1, r.y)):
+            if r.block == at:
+                met[r.x, r.y][side].add(r.id)
+    seen = defaultdict(set)
+    for one, other in met.values():
+        for i in one | other:
+            seen[i] |= one | other if one == other else (other if i in one else one)
+    assert all(seen[i] >= set(range(n)) for i in range(others))
+
+
 def test_near_dedup_across_parts(spark):
     """Two groups whose least and greatest neighbours aren't linked, and one document that links both."""
     base = prose(41, 300, 5000).split()
@@ -322,12 +340,32 @@ def test_splice_is_exact():
     import random
 
     model, r = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")), random.Random(6)
-    for _ in range(60):
-        signs = r.choice(["ab ", "a  b", "\n a▁é", "abc", "  ", " 日本x"])
+    joined = token_counts.neighbours(model)
+    for _ in range(80):
+        signs = r.choice(["ab ", "a  b", "\n a▁é", "abc", "  ", " 日本x", "日本語の文章は間を置かない。", "<0x0A></s>", "的是不了在人𝒳🙂"])
         t = "".join(r.choice(signs) for _ in range(r.randrange(900)))
         t += r.choice(["", "z" * 300, " " * 300]) + t
         for chunk, overlap in ((64, 16), (100, 32), (40, 8)):
-            assert token_counts.splice(model, t, chunk, overlap) == len(model.encode(t))
+            assert token_counts.splice(model, t, joined, chunk, overlap) == len(model.encode(t))
+
+
+def test_huge_texts_without_spaces_are_cut():
+    """No call of the encoder gets more than two chunks, whether or not there are spaces."""
+    import random
+
+    real, r, longest = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")), random.Random(8), []
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+        def encode(self, text):
+            longest.append(len(text))
+            return real.encode(text)
+
+    text = "".join(r.choice("日本語の文章は間を置かない。時に人が書くと長くなる") for _ in range(200_000))
+    assert token_counts.splice(Watched(), text, token_counts.neighbours(real)) == len(real.encode(text))
+    assert max(longest) <= 2 * token_counts.CHUNK
 
 
 def test_sharding(docs, empty):
@@ -343,6 +381,17 @@ def test_sharding(docs, empty):
     assert sharding.plan(empty, old, 3).count() == 0
     out = sharding.reshard(docs, old, 3)
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(texts())
+    assert sharding.reshard(empty, old, 3).count() == 0
+
+
+def test_resharding_many_rows_of_one_id(spark):
+    """No row meets the others of its id, and columns named like the operator's own don't disturb."""
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"), F.col("id").alias("rank"), F.lit(1).alias("block"), F.lit("x").alias("row"))
+    out = sharding.reshard(df, F.lit(0), 3)
+    assert out.columns == ["doc_id", "text", "rank", "block", "row", "size", "text_crc32", "old", "shard", "slot"]
+    rows = out.select("text", "rank", "shard", "slot", "row", "block").collect()
+    assert sorted(int(r.text) for r in rows) == list(range(20_000)) and all(int(r.text) == r["rank"] and r["row"] == "x" and r["block"] == 1 for r in rows)
+    assert all(sorted(r.slot for r in rows if r.shard == j) == list(range(sum(r.shard == j for r in rows))) for j in range(3))
 
 
 def test_cheapest_flow():
