@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType
 
-from bitloom.operators.planes import bytes_of
+from bitloom.operators.planes import STEP, byte_at, bytes_of
 
 #: Strides tried, bytes looked at, gain in bits that a stride over 1 needs, and the frequencies' sum.
 STRIDES = (1, 2, 3, 4, 6, 8, 12, 16)
@@ -24,15 +29,62 @@ def order0(hist: DataFrame, *keys: str) -> DataFrame:
     return sums.select(*keys, "n", (F.log2(F.col("n").cast("double")) - F.col("s") / F.col("n")).alias("h"))
 
 
+def followers(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs (256 * context + byte, ascending) stand k places apart in x, and how often."""
+    if len(x) <= 4 * 65_536:
+        return np.unique(x[:-k].astype(np.int32) << 8 | x[k:], return_counts=True)
+    total = np.zeros(65_536, np.int64)
+    for i in range(0, len(x) - k, STEP):
+        y = x[i : i + STEP + k]
+        total += np.bincount(y[:-k].astype(np.int32) << 8 | y[k:], minlength=65_536)
+    which = np.flatnonzero(total)
+    return which, total[which]
+
+
 def pairs(blobs: DataFrame, strides: tuple[int, ...] = (1,), *keys: str, sample: int | None = None) -> DataFrame:
     """keys, k, ctx, sym, n: how often byte `sym` follows `ctx` k places before, in the whole blob or in its first
-    `sample` bytes. Both bytes are cut from the blob itself, so no window and no shuffle of byte rows is needed."""
+    `sample` bytes. Pairs are counted in Arrow batches; only the counts are rows."""
+    keys = keys or ("source_id",)
+    df = blobs.where(F.octet_length("data") > min(strides)).select(*keys, (F.col("data") if sample is None else F.substring("data", 1, sample)).alias("data"))
+    schema = StructType([*df.schema.fields[:-1]]).add("k", IntegerType()).add("ctx", IntegerType()).add("sym", IntegerType()).add("n", LongType())
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i, blob in enumerate(batch.column(len(keys)).to_pylist()):
+                x = np.frombuffer(blob, np.uint8)
+                for k in strides:
+                    if len(x) > k:
+                        which, n = followers(x, k)
+                        own = [c.take(pa.array(np.full(len(n), i))) for c in batch.columns[:-1]]
+                        parts = (np.full(len(n), k), which >> 8, which & 255)
+                        yield pa.RecordBatch.from_arrays([*own, *(pa.array(p.astype(np.int32)) for p in parts), pa.array(n.astype(np.int64))], names=[*keys, "k", "ctx", "sym", "n"])
+
+    return df.mapInArrow(run, schema).groupBy(*keys, "k", "ctx", "sym").agg(F.sum("n").alias("n"))
+
+
+def by_stride(blobs: DataFrame, strides: tuple[int, ...] = STRIDES, *keys: str, sample: int | None = None) -> DataFrame:
+    """keys, k, h: as conditional() of all pairs, in one pass and without a shuffle, for keys that tell the blobs apart.
+    A blob no longer than a stride has NO_CONTEXT there; null blobs are empty."""
     keys = keys or ("source_id",)
-    df = blobs.select(*keys, (F.col("data") if sample is None else F.substring("data", 1, sample)).alias("data"))
-    df = df.select(*keys, "data", F.explode(F.array(*map(F.lit, strides))).alias("k")).where(F.octet_length("data") > F.col("k"))
-    df = df.select(*keys, "k", "data", F.explode(F.sequence(F.col("k"), F.octet_length("data") - 1)).alias("pos"))
-    byte = lambda at: F.conv(F.hex(F.substring(F.col("data"), at + 1, F.lit(1))), 16, 10).cast("int")
-    return df.select(*keys, "k", byte(F.col("pos") - F.col("k")).alias("ctx"), byte(F.col("pos")).alias("sym")).groupBy(*keys, "k", "ctx", "sym").agg(F.count("*").alias("n"))
+    data = F.coalesce("data", F.lit(b""))
+    df = blobs.select(*keys, (data if sample is None else F.substring(data, 1, sample)).alias("data"))
+    schema = StructType([*df.schema.fields[:-1]]).add("k", IntegerType()).add("h", DoubleType())
+    xlog = lambda n: float((n * np.log2(n)).sum())
+
+    def entropy(x: np.ndarray, k: int) -> float:
+        if len(x) <= k:
+            return NO_CONTEXT
+        which, n = followers(x, k)
+        ctx = np.bincount(which >> 8, weights=n)
+        return (xlog(ctx[ctx > 0]) - xlog(n)) / (len(x) - k)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            h = [entropy(np.frombuffer(b, np.uint8), k) for b in batch.column(len(keys)).to_pylist() for k in strides]
+            own = [c.take(pa.array(np.repeat(np.arange(batch.num_rows), len(strides)))) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.tile(np.array(strides, np.int32), batch.num_rows)), pa.array(h, pa.float64())], names=[*keys, "k", "h"])
+
+    return df.mapInArrow(run, schema)
 
 
 def conditional(pair: DataFrame, *keys: str) -> DataFrame:
@@ -144,7 +196,7 @@ def cascade(blobs: DataFrame, *keys: str, first: int = 64, second: int = 128) ->
     """keys, c2, c1, sym, n, level: the table that codes each byte: that of the two bytes before it if seen `second`
     times, else of the one before it if seen `first` times, else the blob's: two left joins and a coalesce."""
     keys = keys or ("source_id",)
-    byte = lambda at: F.conv(F.hex(F.substring(F.col("data"), at + 1, F.lit(1))), 16, 10).cast("int")
+    byte = lambda at: byte_at(F.col("data"), at)
     df = blobs.where(F.octet_length("data") > 2).select(*keys, "data", F.explode(F.sequence(F.lit(2), F.octet_length("data") - 1)).alias("pos"))
     three = df.select(*keys, byte(F.col("pos") - 2).alias("c2"), byte(F.col("pos") - 1).alias("c1"), byte(F.col("pos")).alias("sym")).groupBy(*keys, "c2", "c1", "sym").agg(F.count("*").alias("n"))
     two = three.groupBy(*keys, "c2", "c1").agg(F.sum("n").alias("t2")).where(F.col("t2") >= second)

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 FULL = 255
+#: Bytes that are counted at a time, so that memory doesn't grow with a blob.
+STEP = 1 << 20
+
+
+def byte_at(data: Column, pos: Column) -> Column:
+    """The byte at `pos` (from 0) as a whole number."""
+    return F.ascii(F.decode(F.substring(data, pos + 1, F.lit(1)), "ISO-8859-1"))
 
 
 def bytes_of(blobs: DataFrame, *keys: str) -> DataFrame:
@@ -13,13 +25,43 @@ def bytes_of(blobs: DataFrame, *keys: str) -> DataFrame:
     keys = keys or ("source_id",)
     df = blobs.where(F.octet_length("data") > 0)
     df = df.select(*keys, "data", F.explode(F.sequence(F.lit(0), F.octet_length("data") - 1)).alias("pos"))
-    return df.select(*keys, F.col("pos").cast("long").alias("pos"), F.conv(F.hex(F.substring(F.col("data"), F.col("pos") + 1, F.lit(1))), 16, 10).cast("int").alias("v"))
+    return df.select(*keys, F.col("pos").cast("long").alias("pos"), byte_at(F.col("data"), F.col("pos")).alias("v"))
+
+
+def spans(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows, from and to, of about STEP bytes each; a larger row is alone."""
+    ends, s = np.cumsum(sizes), 0
+    while s < len(sizes):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + STEP, side="right")))
+        yield s, e
+        s = e
+
+
+def counted(blobs: list[np.ndarray]) -> np.ndarray:
+    """A row of 256 counts for each blob."""
+    if len(blobs) == 1:
+        return sum((np.bincount(blobs[0][i : i + STEP], minlength=256) for i in range(0, len(blobs[0]), STEP)), np.zeros(256, np.int64))[None]
+    row = np.repeat(np.arange(len(blobs)) * 256, [len(b) for b in blobs])
+    return np.bincount(row + np.concatenate(blobs), minlength=256 * len(blobs)).reshape(-1, 256)
 
 
 def histogram(blobs: DataFrame, *keys: str) -> DataFrame:
-    """keys, v, n: how often each byte value stands in each blob."""
+    """keys, v, n: how often each byte value stands in each blob. Bytes are counted in Arrow batches; only the counts are
+    rows. Null and empty blobs have none; rows of equal keys count together."""
     keys = keys or ("source_id",)
-    return bytes_of(blobs, *keys).groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    df = blobs.where(F.octet_length("data") > 0).select(*keys, "data")
+    schema = StructType([*df.schema.fields[:-1]]).add("v", IntegerType()).add("n", LongType())
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            data = [np.frombuffer(x, np.uint8) for x in batch.column(len(keys)).to_pylist()]
+            for s, e in spans(np.array([len(x) for x in data], np.int64)):
+                table = counted(data[s:e])
+                row, v = np.nonzero(table)
+                own = [c.take(pa.array(row + s)) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(v.astype(np.int32)), pa.array(table[row, v].astype(np.int64))], names=[*keys, "v", "n"])
+
+    return df.mapInArrow(run, schema).groupBy(*keys, "v").agg(F.sum("n").alias("n"))
 
 
 def flag(v: Column, bit) -> Column:

@@ -33,11 +33,11 @@ def from_gaps(gap: DataFrame, *keys: str) -> DataFrame:
 
 
 def gap_stats(gap: DataFrame, *keys: str) -> DataFrame:
-    """keys, k, gap_min, gap_max, gap_mean, gap_stddev, gap_cv, gap_uniformity, leading_gap_pct (gaps of 1)."""
+    """keys, k, gap_min, gap_max, gap_mean, gap_stddev, gap_cv, gap_uniformity, leading_gap_pct (share of gaps of 1)."""
     keys = keys or ("source_id",)
     df = gap.groupBy(*keys).agg(F.count("*").alias("k"), F.min("gap").alias("gap_min"), F.max("gap").alias("gap_max"), F.avg("gap").alias("gap_mean"), F.stddev_pop("gap").alias("gap_stddev"), F.avg((F.col("gap") == 1).cast("int")).alias("one"))
     cv = F.coalesce(F.try_divide("gap_stddev", "gap_mean"), F.lit(0.0))
-    return df.select(*keys, "k", "gap_min", "gap_max", "gap_mean", "gap_stddev", cv.alias("gap_cv"), (1 - cv / (1 + cv)).alias("gap_uniformity"), (100 * F.col("one")).alias("leading_gap_pct"))
+    return df.select(*keys, "k", "gap_min", "gap_max", "gap_mean", "gap_stddev", cv.alias("gap_cv"), (1 - cv / (1 + cv)).alias("gap_uniformity"), F.col("one").alias("leading_gap_pct"))
 
 
 def gap_entropy(gap: DataFrame, *keys: str) -> DataFrame:

@@ -9,6 +9,8 @@ from bitloom.operators import entropy, planes
 
 #: What counts as a transition: the class differs, or the halt depth by so much, or the target bit.
 HALT_STEP = 3
+#: The halt depths' difference from which adaptive chunks are cut.
+CUT_STEP = 4
 DEEP, SHALLOW = 10, 5
 
 
@@ -16,19 +18,19 @@ def is_noise(cls: Column) -> Column:
     return F.coalesce(F.lower(cls).rlike("noise|encrypted"), F.lit(False))
 
 
-def decay(blobs: DataFrame, *keys: str, deepest: int = 40) -> DataFrame:
+def decay(blobs: DataFrame, *keys: str) -> DataFrame:
     """keys, depth, size, odd_count, odd_ratio: layers of parity.
 
     Layer 0 are the bytes; each next layer is the indices of the odd entries of the one before; the last has none.
     Indices are below the blob's length, so an entry of layer d at index i is odd again or not whatever other blobs
-    do: each layer is a filter and a row number, and layers at least halve in two, so few are needed.
+    do: each layer is a filter and a row number, and layers at least halve in two, which bounds their number.
     """
     keys = keys or ("source_id",)
 
     def layer(x: Column) -> Column:
         return F.filter(F.transform(x, lambda v, i: F.when(v % 2 == 1, i)), lambda i: i.isNotNull())
 
-    first = F.transform(F.sequence(F.lit(1), F.octet_length("data")), lambda i: F.conv(F.hex(F.substring(F.col("data"), i, F.lit(1))), 16, 10).cast("int"))
+    first = F.transform(F.sequence(F.lit(1), F.octet_length("data")), lambda i: planes.byte_at(F.col("data"), i - 1))
     df = blobs.where(F.octet_length("data") > 0).select(*keys, first.alias("x"))
     start = F.struct(F.col("x").alias("x"), F.array().cast("array<struct<size:int,odd:int>>").alias("out"))
 
@@ -37,7 +39,7 @@ def decay(blobs: DataFrame, *keys: str, deepest: int = 40) -> DataFrame:
         grown = F.concat(s["out"], F.array(F.struct(F.size(s["x"]).alias("size"), odd.alias("odd"))))
         return F.when(F.size(s["x"]) > 0, F.struct(layer(s["x"]).alias("x"), grown.alias("out"))).otherwise(s)
 
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(deepest)), start, step, lambda s: s["out"])
+    out = F.aggregate(F.sequence(F.lit(1), (2 * F.ceil(F.log2(F.size("x") + F.lit(1.0))) + 2).cast("int")), start, step, lambda s: s["out"])
     each = df.select(*keys, F.posexplode(out).alias("depth", "l"))
     return each.select(*keys, "depth", F.col("l.size").cast("long").alias("size"), F.col("l.odd").cast("long").alias("odd_count"), (F.col("l.odd") / F.col("l.size")).alias("odd_ratio"))
 
@@ -61,7 +63,7 @@ def complexity(analysis: DataFrame) -> DataFrame:
     return analysis.select("source_id", "index", "offset", "size", F.coalesce("cls", F.lit("unknown")).alias("cls"), F.coalesce("halt_depth", F.lit(-1)).cast("int").alias("halt_depth"), F.coalesce("l0_odd_ratio", F.lit(0.0)).alias("l0_odd_ratio"), "primary_target_bit", "best_entropy_bit", "best_entropy_pct")
 
 
-def transitions(series: DataFrame) -> DataFrame:
+def transitions(series: DataFrame, halt_step: int = HALT_STEP) -> DataFrame:
     """source_id, before, after (chunk indices), byte_offset, reasons: neighbours that differ in structure."""
     w = Window.partitionBy("source_id").orderBy("index")
     cols = [F.lead(c).over(w).alias(f"next_{c}") for c in ("index", "offset", "cls", "halt_depth", "primary_target_bit")]
@@ -70,7 +72,7 @@ def transitions(series: DataFrame) -> DataFrame:
     noisy = is_noise(F.col("cls")) & is_noise(F.col("next_cls"))
     reasons = F.array_compact(F.array(
         F.when(F.col("cls") != F.col("next_cls"), F.concat_ws(" -> ", F.concat(F.lit("class "), "cls"), "next_cls")),
-        F.when(step >= HALT_STEP, F.concat(F.lit("halt "), F.col("halt_depth").cast("string"), F.lit(" -> "), F.col("next_halt_depth").cast("string"))),
+        F.when(step >= halt_step, F.concat(F.lit("halt "), F.col("halt_depth").cast("string"), F.lit(" -> "), F.col("next_halt_depth").cast("string"))),
         F.when((F.col("primary_target_bit") != F.col("next_primary_target_bit")) & ~noisy, F.concat(F.lit("bit "), F.col("primary_target_bit").cast("string"), F.lit(" -> "), F.col("next_primary_target_bit").cast("string"))),
     ))
     return df.select("source_id", F.col("index").alias("before"), F.col("next_index").alias("after"), F.col("next_offset").alias("byte_offset"), reasons.alias("reasons")).where(F.size("reasons") > 0)
@@ -88,12 +90,12 @@ def summary(series: DataFrame, *keys: str) -> DataFrame:
 def sweep_totals(blobs: DataFrame, *keys: str) -> DataFrame:
     """keys, bit, total, layers: flags of each bit and of the parity layers over their positions; least total first."""
     keys = keys or ("source_id",)
-    hex_at = lambda i: F.conv(F.hex(F.substring(F.col("data"), i + 1, F.lit(1))), 16, 10).cast("int")
-    df = blobs.where(F.octet_length("data") > 0).select(*keys, F.transform(F.sequence(F.lit(0), F.octet_length("data") - 1), hex_at).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
+    value = lambda i: planes.byte_at(F.col("data"), i)
+    df = blobs.where(F.octet_length("data") > 0).select(*keys, F.transform(F.sequence(F.lit(0), F.octet_length("data") - 1), value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
     first = F.expr("filter(transform(v, (x, i) -> IF((x >> bit) & 1 = 1, i, NULL)), i -> i IS NOT NULL)")
-    fold = """aggregate(sequence(1, 40), named_struct('x', x, 'out', array(size(x))), (s, _) -> IF(size(s.x) > 0,
+    fold = """aggregate(sequence(1, CAST(2 * ceil(log2(size(v) + 1.0D)) + 2 AS INT)), named_struct('x', x, 'out', array(size(x))), (s, _) -> IF(size(s.x) > 0,
         named_struct('x', filter(transform(s.x, (v, i) -> IF(v % 2 = 1, i, NULL)), i -> i IS NOT NULL), 'out', concat(s.out, array(size(filter(s.x, v -> v % 2 = 1))))), s), s -> filter(s.out, (n, i) -> n > 0 OR i = 0))"""
-    out = df.select(*keys, "bit", first.alias("x")).withColumn("layers", F.expr(fold))
+    out = df.select(*keys, "bit", "v", first.alias("x")).withColumn("layers", F.expr(fold))
     return out.select(*keys, "bit", F.aggregate("layers", F.lit(0).cast("long"), lambda a, n: a + n).alias("total"), "layers")
 
 

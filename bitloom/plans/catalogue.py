@@ -59,8 +59,11 @@ r AS (SELECT source_id, CAST(sum(2 * (length(bin(length)) - 1) + 1) AS BIGINT) g
 l AS (SELECT *, least(30, length(bin(n // k)) - 1) lo FROM g JOIN r USING (source_id)),
 sizes AS (SELECT source_id, n, k, CAST(ceil(n / 8) AS BIGINT) bitset, CAST(4 + k * CASE WHEN largest <= 255 THEN 1 WHEN largest <= 65534 THEN 2 ELSE 4 END AS BIGINT) gap,
   CAST(17 + ceil(k * lo / 8) + ceil((k + (last >> lo)) / 8) AS BIGINT) ef, CAST(5 + ceil(gamma / 8) AS BIGINT) rle, CAST(k * lo + (n >> lo) + k AS BIGINT) ef_bits, CAST(8 + gamma AS BIGINT) rle_bits FROM l)"""
-PAIRS = "pairs AS (SELECT a.source_id, CAST(k AS INTEGER) k, c.v ctx, a.v sym, count(*) n FROM bytes a, unnest([1, 2, 3, 4, 6, 8, 12, 16]) s(k), bytes c WHERE c.source_id = a.source_id AND c.pos = a.pos - k AND a.pos < 1000000 GROUP BY ALL)"
-COND = """ctx AS (SELECT source_id, k, ctx, sum(n) n, sum(n * log2(n)) s FROM pairs GROUP BY ALL), cond AS (SELECT source_id, k, (sum(n * log2(n)) - sum(s)) / sum(n) h FROM ctx GROUP BY ALL)"""
+STRIDES = "[1, 2, 3, 4, 6, 8, 12, 16]"
+LAGS = ", ".join(f"lag(v, {k}) OVER w" for k in entropy.STRIDES)
+PAIRS = f"""lags AS (SELECT source_id, v, [{LAGS}] ctxs FROM bytes WINDOW w AS (PARTITION BY source_id ORDER BY pos)),
+pairs AS (SELECT source_id, CAST(k AS INTEGER) k, ctx, sym, count(*) n FROM (SELECT source_id, unnest({STRIDES}) k, unnest(ctxs) ctx, v sym FROM lags) WHERE ctx IS NOT NULL GROUP BY ALL)"""
+COND = """ctx AS (SELECT source_id, k, ctx, sum(n) n, sum(n * log2(n)) s FROM pairs GROUP BY ALL), cond AS (SELECT source_id, k, (sum(n * log2(n)) - sum(s)) / sum(n) h FROM ctx GROUP BY ALL UNION ALL SELECT source_id, CAST(k AS INTEGER), 8.0 FROM b, unnest([1, 2, 3, 4, 6, 8, 12, 16]) s(k) WHERE n <= k)"""
 
 
 def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,15 +222,15 @@ def pair_histogram_k(spark, sf_dir):
     return entropy.pairs(talk(spark, sf_dir))
 
 
-@query(f"WITH {TALK}, {PAIRS}, {COND} SELECT source_id, k, round(h, 6) h FROM cond")
+@query(f"WITH {DOCS}, {PAIRS}, {COND} SELECT source_id, k, round(h, 6) h FROM cond")
 def cond_entropy_by_stride(spark, sf_dir):
-    return rounded(entropy.conditional(entropy.pairs(talk(spark, sf_dir), entropy.STRIDES, sample=entropy.SAMPLE_BYTES)), "h")
+    return rounded(entropy.by_stride(blobs.documents(spark, sf_dir)), "h")
 
 
-@query(f"""WITH {TALK}, {PAIRS}, {COND}, c AS (SELECT source_id, k, round(h, 9) h FROM cond), m AS (SELECT source_id, min({{'h': h, 'k': k}}) m, min(h) FILTER (k = 1) h1 FROM c GROUP BY 1)
+@query(f"""WITH {DOCS}, {PAIRS.replace("FROM bytes", f"FROM bytes WHERE pos < {entropy.SAMPLE_BYTES}")}, {COND}, c AS (SELECT source_id, k, round(h, 9) h FROM cond), m AS (SELECT source_id, min({{'h': h, 'k': k}}) m, min(h) FILTER (k = 1) h1 FROM c GROUP BY 1)
 SELECT source_id, CASE WHEN h1 - m.h >= 0.05 THEN m.k ELSE 1 END k, round(CASE WHEN h1 - m.h >= 0.05 THEN m.h ELSE h1 END, 6) h, round(h1, 6) h1 FROM m""")
 def stride_select(spark, sf_dir):
-    cond = entropy.conditional(entropy.pairs(talk(spark, sf_dir), entropy.STRIDES, sample=entropy.SAMPLE_BYTES))
+    cond = entropy.by_stride(blobs.documents(spark, sf_dir), sample=entropy.SAMPLE_BYTES)
     return rounded(entropy.stride(cond), "h", "h1")
 
 
@@ -243,11 +246,12 @@ def context_fallback(spark, sf_dir):
     return rounded(entropy.with_fallback(entropy.pairs(df), planes.histogram(df)), "p")
 
 
-@query(f"""WITH {BENCH}, {HIST}, f AS (SELECT *, greatest(1, CAST(round_even(n * 16384 / sum(n) OVER (PARTITION BY source_id), 0) AS BIGINT)) f0 FROM hist)
-SELECT source_id, count(*) symbols, CAST(sum(n) AS BIGINT) n, CAST(16384 AS BIGINT) total FROM f GROUP BY 1""")
+@query(f"""WITH {BENCH}, {HIST}, f AS (SELECT *, greatest(1, CAST(round_even(n * 16384 / sum(n) OVER (PARTITION BY source_id), 0) AS BIGINT)) f0 FROM hist),
+o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY f0 DESC, v) - 1 i, 16384 - sum(f0) OVER (PARTITION BY source_id) d, count(*) OVER (PARTITION BY source_id) m, count(*) FILTER (f0 > 1) OVER (PARTITION BY source_id) big FROM f)
+SELECT source_id, v, n, CAST(CASE WHEN d >= 0 THEN f0 + d // m + CASE WHEN i < d % m THEN 1 ELSE 0 END WHEN -d <= big THEN f0 - CASE WHEN i < -d THEN 1 ELSE 0 END END AS BIGINT) f FROM o""")
 def freq_normalise(spark, sf_dir):
-    df = entropy.normalised(planes.histogram(blobs.benchmark(spark, sf_dir)))
-    return df.groupBy("source_id").agg(F.count("*").alias("symbols"), F.sum("n").alias("n"), F.sum("f").alias("total"))
+    """Each symbol's frequency. The SQL knows surpluses of no more than one for each symbol above 1, as all here are."""
+    return entropy.normalised(planes.histogram(blobs.benchmark(spark, sf_dir)))
 
 
 @query(f"""WITH {BENCH}, {PAIRS}, p1 AS (SELECT * FROM pairs WHERE k = 1), pr AS (SELECT source_id, sym, sum(n) pn FROM p1 GROUP BY ALL), par AS (SELECT source_id, sym, pn / sum(pn) OVER (PARTITION BY source_id) p FROM pr), ch AS (SELECT *, n / sum(n) OVER (PARTITION BY source_id, ctx) c FROM p1)
@@ -283,10 +287,11 @@ def _flags(spark, sf_dir) -> DataFrame:
     return positions.flags(blobs.documents(spark, sf_dir), BIT)
 
 
-@query(f"""WITH {DOCS}, {POS} SELECT source_id, count(*) k, min(gap) gap_min, max(gap) gap_max, round(avg(gap), 2) gap_mean, round(stddev_pop(gap), 4) gap_stddev, round(100 * avg(CAST(gap = 1 AS INTEGER)), 2) leading_gap_pct FROM gaps GROUP BY 1""")
+@query(f"""WITH {DOCS}, {POS}, st AS (SELECT source_id, count(*) k, min(gap) gap_min, max(gap) gap_max, avg(gap) mean, stddev_pop(gap) dev, coalesce(stddev_pop(gap) / nullif(avg(gap), 0), 0) cv, avg(CAST(gap = 1 AS INTEGER)) one FROM gaps GROUP BY 1)
+SELECT source_id, k, gap_min, gap_max, round(mean, 2) gap_mean, round(dev, 4) gap_stddev, round(cv, 4) gap_cv, round(1 - cv / (1 + cv), 4) gap_uniformity, round(one, 4) leading_gap_pct FROM st""")
 def gap_stats(spark, sf_dir):
     df = positions.gap_stats(positions.gaps(_flags(spark, sf_dir)))
-    return rounded(rounded(df, "gap_mean", "leading_gap_pct", to=2), "gap_stddev", to=4).drop("gap_cv", "gap_uniformity")
+    return rounded(rounded(df, "gap_mean", to=2), "gap_stddev", "gap_cv", "gap_uniformity", "leading_gap_pct", to=4)
 
 
 @query(f"WITH {DOCS}, {POS}, c AS (SELECT source_id, gap, count(*) c FROM gaps GROUP BY ALL) SELECT source_id, round(abs(log2(sum(c)) - sum(c * log2(c)) / sum(c)), 4) spatial_entropy FROM c GROUP BY 1")
@@ -353,11 +358,11 @@ def transitions(spark, sf_dir):
     return series.transitions(series.complexity(chunk_series(spark, sf_dir))).withColumn("reasons", F.array_join("reasons", "; "))
 
 
-@query(f"""WITH RECURSIVE {DOCS}, {SERIES}, o AS (SELECT DISTINCT source_id, byte_offset FROM tr WHERE len(reasons) > 0), ol AS (SELECT source_id, list(byte_offset ORDER BY byte_offset) ats FROM o GROUP BY 1),
+@query(f"""WITH RECURSIVE {DOCS}, {SERIES.replace(">= 3", ">= 4")}, o AS (SELECT DISTINCT source_id, byte_offset FROM tr WHERE len(reasons) > 0), ol AS (SELECT source_id, list(byte_offset ORDER BY byte_offset) ats FROM o GROUP BY 1),
 f AS (SELECT source_id, ats, CAST(0 AS BIGINT) last, 0 nth FROM ol UNION ALL SELECT source_id, ats, list_filter(ats, lambda x: x - last >= 4096)[1], nth + 1 FROM f WHERE list_filter(ats, lambda x: x - last >= 4096)[1] IS NOT NULL)
 SELECT source_id, nth, last AS "offset" FROM f""")
 def adaptive_boundaries(spark, sf_dir):
-    return chunking.boundaries(series.transitions(series.complexity(chunk_series(spark, sf_dir))), min_size=4096)
+    return chunking.boundaries(series.transitions(series.complexity(chunk_series(spark, sf_dir)), series.CUT_STEP), min_size=4096)
 
 
 @query(f"""WITH {DOCS}, {SERIES} SELECT source_id, count(*) n_chunks, CAST(sum(size) AS BIGINT) total_bytes, round(avg(halt_depth), 6) halt_depth_mean, min(halt_depth) halt_depth_min, max(halt_depth) halt_depth_max, count(*) FILTER (contains(lower(cls), 'noise')) n_noise_chunks, round(100.0 * count(*) FILTER (contains(lower(cls), 'noise')) / count(*), 6) compression_skip_pct FROM sr GROUP BY 1""")

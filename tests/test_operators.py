@@ -73,6 +73,26 @@ def test_stride(spark):
     assert r.k == codecs.choose_stride(words) == 8
 
 
+def test_entropy_by_stride(spark):
+    """One pass over bytes agrees with the entropy of the pairs, and a blob within the stride has the fixed value."""
+    r = np.random.default_rng(3)
+    data = [("big", r.integers(0, 9, 300_000)), ("small", r.integers(0, 200, 90)), ("tiny", np.arange(3)), ("none", np.arange(0))]
+    df = spark.createDataFrame([(n, bytearray(x.astype(np.uint8).tobytes())) for n, x in data], "source_id string, data binary")
+    got = {(r.source_id, r.k): r.h for r in entropy.by_stride(df).collect()}
+    want = {(r.source_id, r.k): r.h for r in entropy.conditional(entropy.pairs(df, entropy.STRIDES)).collect()}
+    assert len(got) == 4 * len(entropy.STRIDES)
+    for (n, k), h in got.items():
+        assert abs(h - want.get((n, k), entropy.NO_CONTEXT)) < 1e-9
+    assert ("tiny", 2) in want and ("tiny", 3) not in want
+
+
+def test_histogram_of_large_blobs(spark):
+    x = np.random.default_rng(4).integers(0, 256, planes.STEP + 77).astype(np.uint8)
+    df = spark.createDataFrame([("a", bytearray(x.tobytes())), ("b", None), ("b", bytearray()), ("c", bytearray(b"xyx")), ("c", bytearray(b"z"))], "source_id string, data binary")
+    got = {(r.source_id, r.v): r.n for r in planes.histogram(df).collect()}
+    assert got == {("a", v): n for v, n in enumerate(np.bincount(x, minlength=256).tolist())} | {("c", 120): 2, ("c", 121): 1, ("c", 122): 1}
+
+
 def test_pairs_of_a_whole_blob(spark):
     """Pairs beyond the bytes that the stride choice looks at count too."""
     n = entropy.SAMPLE_BYTES + 40
@@ -166,6 +186,7 @@ def test_streams(spark, tmp_path, edge):
     assert {(r.source_id, r["index"], r.flags) for r in pop.collect()} == {(r.source_id, r["index"], r.p5) for r in got.collect()}
     changes = streaming.drained(streaming.target_changes(streaming.chunk_stats(spark.readStream.schema("source_id string, data binary").parquet(str(tmp_path / "in")), 16)), str(tmp_path / "changes"))
     assert all(r.before != r.after for r in changes.collect())
+    assert set(changes.columns) >= {"source_id", "before", "after"}
 
 
 def test_sweep_totals(edge):
