@@ -45,7 +45,6 @@ bytes AS (SELECT source_id, n, CAST(pos AS BIGINT) pos, CAST('0x' || h AS INTEGE
 
 
 DOCS, BENCH, PAGES = source("documents", "doc_id", "text"), source("benchmark", "item_id", "text"), source("pages", "page_id", "html")
-TALK = source("conversations", "conv_id || '-' || turn", "text")
 HIST = "hist AS (SELECT source_id, v, count(*) n FROM bytes GROUP BY ALL)"
 POP = "pop AS (SELECT source_id, CAST(b AS INTEGER) bit, CAST(sum(CASE WHEN (v >> b) & 1 = 1 THEN n ELSE 0 END) AS BIGINT) flags, CAST(sum(n) AS BIGINT) n FROM hist, range(8) r(b) GROUP BY ALL)"
 RANK = """ranked AS (SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY flags, bit) - 1 AS INTEGER) depth, bit, flags, n FROM pop),
@@ -66,11 +65,6 @@ pairs AS (SELECT source_id, CAST(k AS INTEGER) k, ctx, sym, count(*) n FROM (SEL
 COND = """ctx AS (SELECT source_id, k, ctx, sum(n) n, sum(n * log2(n)) s FROM pairs GROUP BY ALL), cond AS (SELECT source_id, k, (sum(n * log2(n)) - sum(s)) / sum(n) h FROM ctx GROUP BY ALL UNION ALL SELECT source_id, CAST(k AS INTEGER), 8.0 FROM b, unnest([1, 2, 3, 4, 6, 8, 12, 16]) s(k) WHERE n <= k)"""
 
 
-def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = blobs.table(spark, sf_dir, "conversations")
-    return blobs.texts(df.withColumn("key", F.concat_ws("-", "conv_id", "turn")), "key", "text")
-
-
 # Sources and chunks
 
 
@@ -217,9 +211,9 @@ def order0_entropy(spark, sf_dir):
     return rounded(entropy.order0(byte_histogram(spark, sf_dir)), "h")
 
 
-@query(f"WITH {TALK}, {PAIRS} SELECT * FROM pairs WHERE k = 1")
+@query(f"WITH {DOCS}, {PAIRS} SELECT * FROM pairs WHERE k = 1")
 def pair_histogram_k(spark, sf_dir):
-    return entropy.pairs(talk(spark, sf_dir))
+    return entropy.pairs(blobs.documents(spark, sf_dir))
 
 
 @query(f"WITH {DOCS}, {PAIRS}, {COND} SELECT source_id, k, round(h, 6) h FROM cond")
@@ -234,16 +228,18 @@ def stride_select(spark, sf_dir):
     return rounded(entropy.stride(cond), "h", "h1")
 
 
-@query(f"WITH {TALK}, {PAIRS} SELECT source_id, k, ctx, CAST(sum(n) AS BIGINT) n, count(*) symbols FROM pairs WHERE k = 1 GROUP BY ALL HAVING sum(n) >= 32")
+@query(f"WITH {DOCS}, {PAIRS} SELECT source_id, k, ctx, CAST(sum(n) AS BIGINT) n, count(*) symbols FROM pairs WHERE k = 1 GROUP BY ALL HAVING sum(n) >= 32")
 def context_support(spark, sf_dir):
-    return entropy.supported(entropy.pairs(talk(spark, sf_dir)))
+    return entropy.supported(entropy.pairs(blobs.documents(spark, sf_dir)))
 
 
-@query(f"""WITH {TALK}, {PAIRS}, {HIST}, s AS (SELECT source_id, k, ctx, sum(n) cn FROM pairs WHERE k = 1 GROUP BY ALL HAVING sum(n) >= 32), w AS (SELECT source_id, v sym, n / sum(n) OVER (PARTITION BY source_id) p0 FROM hist)
+@query(f"""WITH {DOCS}, {PAIRS}, {HIST}, s AS (SELECT source_id, k, ctx, sum(n) cn FROM pairs WHERE k = 1 GROUP BY ALL HAVING sum(n) >= 32), w AS (SELECT source_id, v sym, n / sum(n) OVER (PARTITION BY source_id) p0 FROM hist)
 SELECT p.source_id, p.k, p.ctx, p.sym, p.n, cn IS NULL fell_back, round(coalesce(p.n / cn, p0), 6) p FROM pairs p LEFT JOIN s USING (source_id, k, ctx) JOIN w ON w.source_id = p.source_id AND w.sym = p.sym WHERE p.k = 1""")
 def context_fallback(spark, sf_dir):
-    df = talk(spark, sf_dir)
-    return rounded(entropy.with_fallback(entropy.pairs(df), planes.histogram(df)), "p")
+    """Rounded as binary numbers, as the SQL does; the decimal notation of 41/640 would round up."""
+    df = blobs.documents(spark, sf_dir)
+    shares = entropy.with_fallback(entropy.pairs(df), planes.histogram(df))
+    return shares.withColumn("p", F.round(F.col("p") * 1e6) / 1e6)
 
 
 @query(f"""WITH {BENCH}, {HIST}, f AS (SELECT *, greatest(1, CAST(round_even(n * 16384 / sum(n) OVER (PARTITION BY source_id), 0) AS BIGINT)) f0 FROM hist),
@@ -254,10 +250,10 @@ def freq_normalise(spark, sf_dir):
     return entropy.normalised(planes.histogram(blobs.benchmark(spark, sf_dir)))
 
 
-@query(f"""WITH {BENCH}, {PAIRS}, p1 AS (SELECT * FROM pairs WHERE k = 1), pr AS (SELECT source_id, sym, sum(n) pn FROM p1 GROUP BY ALL), par AS (SELECT source_id, sym, pn / sum(pn) OVER (PARTITION BY source_id) p FROM pr), ch AS (SELECT *, n / sum(n) OVER (PARTITION BY source_id, ctx) c FROM p1)
+@query(f"""WITH {DOCS}, {PAIRS}, p1 AS (SELECT * FROM pairs WHERE k = 1), pr AS (SELECT source_id, sym, sum(n) pn FROM p1 GROUP BY ALL), par AS (SELECT source_id, sym, pn / sum(pn) OVER (PARTITION BY source_id) p FROM pr), ch AS (SELECT *, n / sum(n) OVER (PARTITION BY source_id, ctx) c FROM p1)
 SELECT source_id, k, ctx, round(sum(n * log2(c / p)) / 8, 6) gain FROM ch JOIN par USING (source_id, sym) GROUP BY ALL""")
 def kl_gain_contexts(spark, sf_dir):
-    return rounded(entropy.kl_gain(entropy.pairs(blobs.benchmark(spark, sf_dir))), "gain")
+    return rounded(entropy.kl_gain(entropy.pairs(blobs.documents(spark, sf_dir))), "gain")
 
 
 BITS = f"""{HIST}, {H0}, al AS (SELECT source_id, CAST(b AS INTEGER) bit, v & ~(1 << b) a, sum(n) n, sum(n * ((v >> b) & 1)) f FROM hist, range(8) r(b) GROUP BY ALL),
@@ -399,12 +395,12 @@ def fibonacci_bytes(spark, sf_dir):
 
 @query()
 def real_layers(spark, sf_dir):
-    return series.decay(blobs.benchmark(spark, sf_dir), "source_id")
+    return series.decay(blobs.documents(spark, sf_dir), "source_id")
 
 
 @query()
 def fingerprint(spark, sf_dir):
-    df = blobs.benchmark(spark, sf_dir)
+    df = blobs.documents(spark, sf_dir)
     hist = planes.histogram(df)
     return series.fingerprint(series.decay(df, "source_id"), planes.popcounts(hist), planes.uniformity(hist))
 
@@ -515,13 +511,13 @@ def flag_position_profile(spark, sf_dir):
 
 @query()
 def sweep_totals(spark, sf_dir):
-    return series.sweep_totals(blobs.benchmark(spark, sf_dir)).withColumn("layers", F.array_join("layers", ","))
+    return series.sweep_totals(blobs.documents(spark, sf_dir)).withColumn("layers", F.array_join("layers", ","))
 
 
 @query()
 def complexity_series(spark, sf_dir):
     """The whole analysis of chunks: fingerprint, target bits and entropies."""
-    return series.complexity(series.analysed(chunking.fixed(blobs.benchmark(spark, sf_dir), 128)))
+    return series.complexity(series.analysed(chunking.fixed(blobs.documents(spark, sf_dir), CHUNK)))
 
 
 @query()
