@@ -109,7 +109,7 @@ def chunk_records(chunks: DataFrame) -> DataFrame:
 def chunk_containers(records: DataFrame) -> DataFrame:
     """source_id, n_chunks, container: the chunks' records in order."""
     ordered = F.sort_array(F.collect_list(F.struct("index", "record")))
-    return records.groupBy("source_id").agg(F.count("*").alias("n_chunks"), ordered.alias("r")).select("source_id", "n_chunks", F.aggregate("r", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["record"])).alias("container"))
+    return records.groupBy("source_id").agg(F.count("*").alias("n_chunks"), ordered.alias("r")).select("source_id", "n_chunks", F.unhex(F.array_join(F.transform("r", lambda x: F.hex(x["record"])), "")).alias("container"))
 
 
 def chunk_headers(containers: DataFrame) -> DataFrame:

@@ -450,7 +450,7 @@ def chunk_container_roundtrip(spark, sf_dir):
     """Hash of each blob put together again from its chunk container."""
     parts = coding.chunk_contents(coding.chunk_containers(_records(spark, sf_dir)))
     whole = parts.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("index", "data"))).alias("p"))
-    joined = F.aggregate("p", F.unhex(F.lit("")), lambda a, x: F.concat(a, x["data"]))
+    joined = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["data"])), ""))
     return whole.select("source_id", F.sha2(joined, 256).alias("sha256"))
 
 
