@@ -234,11 +234,11 @@ def key_id(text: str, start: int) -> Span | None:
 def find(text: str, machine: ahocorasick.Automaton) -> dict[str, list[Span]]:
     """Spans of each kind in code points, end exclusive, by start; those of a kind don't overlap."""
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
-    done = dict.fromkeys((*KINDS, "run"), 0)
+    done = dict.fromkeys(KINDS, 0)
     links, names, values = Ends(text, lambda c: c not in URL_END), Ends(text, LABEL.__contains__), Ends(text, lambda c: c not in URL_END)
     for last, found in machine.iter(text):
         kind, cue = found if isinstance(found, tuple) else (found, "")
-        if last < done["secret" if kind == "key id" else kind if kind in done else "run"]:
+        if last < done["secret" if kind == "key id" else kind]:
             continue
         if kind == "email":
             span = email(text, last, done["email"])
@@ -258,7 +258,7 @@ def find(text: str, machine: ahocorasick.Automaton) -> dict[str, list[Span]]:
             continue
         else:
             span = number_run(text, last)
-            done["run"] = span[1]
+            done["card"] = span[1]
             if card(text, span):
                 out["card"].append(span)
             continue

@@ -299,6 +299,15 @@ def test_pii_random_strings():
         assert {k: found[k] for k in pii.KINDS[:4]} == by_pattern(t), t
 
 
+def test_pii_card_counts_once():
+    """However many pairs of digits anchor a number, it is one span; the number after it is still found."""
+    machine = pii.automaton()
+    text = "pay 4111 1111 1111 1111, then 5500-0000-0000-0004; 12 34"
+    found = pii.find(text, machine)
+    assert found["card"] == by_pattern(text)["card"] == [(4, 23), (30, 49)]
+    assert pii.find("4111 1111 1111 1111 " * 2, machine)["card"] == []
+
+
 def test_pii_more_kinds():
     machine = pii.automaton()
     text = "See https://a.example.org/x?y=1. Account no: 12345678 and IBAN DE89370400440532013000"
