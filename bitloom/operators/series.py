@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from bitloom.operators import entropy, planes
 
@@ -87,16 +92,61 @@ def summary(series: DataFrame, *keys: str) -> DataFrame:
     return main.join(dist("cls", "class_distribution"), list(keys)).join(dist("primary_target_bit", "bit_distribution"), list(keys))
 
 
+def parity(blobs: list[np.ndarray], bit: int) -> np.ndarray:
+    """A row for each depth, a column for each blob: how many bytes it has, how many of them are flagged, and how many
+    entries each next layer has: the indices of the odd entries of the one before. The last row has a count above 0.
+
+    A layer is a filter and a row number, so a blob that is alone is read in pieces of STEP bytes: an entry's index is
+    its place in the piece plus the entries of its layer before the piece. Only whether it is odd matters, so its lowest
+    byte is enough.
+    """
+    sizes: list[np.ndarray] = []
+
+    def add(data: np.ndarray, bounds: np.ndarray) -> None:
+        odd, depth = ((data >> bit) & 1).view(bool), 0
+        while bounds[-1]:
+            if depth == len(sizes):
+                sizes.append(np.zeros(len(blobs), np.int64))
+            here = np.flatnonzero(odd)
+            inner = np.searchsorted(here, bounds)
+            shift = (bounds[:-1] - sizes[depth]).astype(np.uint8)
+            odd = ((here.astype(np.uint8) - np.repeat(shift, np.diff(inner))) & 1).view(bool)
+            sizes[depth] += np.diff(bounds)
+            bounds, depth = inner, depth + 1
+
+    if len(blobs) == 1:
+        for i in range(0, len(blobs[0]), planes.STEP):
+            piece = blobs[0][i : i + planes.STEP]
+            add(piece, np.array([0, len(piece)]))
+    else:
+        add(np.concatenate(blobs), np.concatenate([[0], np.cumsum([len(b) for b in blobs])]))
+    return np.array(sizes, np.int64).reshape(-1, len(blobs))
+
+
 def sweep_totals(blobs: DataFrame, *keys: str) -> DataFrame:
-    """keys, bit, total, layers: flags of each bit and of the parity layers over their positions; least total first."""
+    """keys, bit, total, layers: flags of each bit and of the parity layers over their positions. Layers are counted in
+    Arrow batches; only the counts are rows. Null and empty blobs have none; rows of equal keys stay apart."""
     keys = keys or ("source_id",)
-    value = lambda i: planes.byte_at(F.col("data"), i)
-    df = blobs.where(F.octet_length("data") > 0).select(*keys, F.transform(F.sequence(F.lit(0), F.octet_length("data") - 1), value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
-    first = F.expr("filter(transform(v, (x, i) -> IF((x >> bit) & 1 = 1, i, NULL)), i -> i IS NOT NULL)")
-    fold = """aggregate(sequence(1, CAST(2 * ceil(log2(size(v) + 1.0D)) + 2 AS INT)), named_struct('x', x, 'out', array(size(x))), (s, _) -> IF(size(s.x) > 0,
-        named_struct('x', filter(transform(s.x, (v, i) -> IF(v % 2 = 1, i, NULL)), i -> i IS NOT NULL), 'out', concat(s.out, array(size(filter(s.x, v -> v % 2 = 1))))), s), s -> filter(s.out, (n, i) -> n > 0 OR i = 0))"""
-    out = df.select(*keys, "bit", "v", first.alias("x")).withColumn("layers", F.expr(fold))
-    return out.select(*keys, "bit", F.aggregate("layers", F.lit(0).cast("long"), lambda a, n: a + n).alias("total"), "layers")
+    df = blobs.where(F.octet_length("data") > 0).select(*keys, "data")
+    schema = StructType([*df.schema.fields[:-1]]).add("bit", IntegerType()).add("total", LongType()).add("layers", ArrayType(IntegerType()))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            data = [np.frombuffer(x, np.uint8) for x in batch.column(len(keys)).to_pylist()]
+            for s, e in planes.spans(np.array([len(x) for x in data], np.int64)):
+                swept = [parity(data[s:e], b)[1:] for b in range(8)]
+                table = np.zeros((e - s, 8, max(1, *map(len, swept))), np.int64)
+                for b, sizes in enumerate(swept):
+                    table[:, b, : len(sizes)] = sizes.T
+                table = table.reshape(8 * (e - s), -1)
+                there = table > 0
+                there[:, 0] = True
+                ends = np.concatenate([[0], np.cumsum(there.sum(1))])
+                own = [c.take(pa.array(np.repeat(np.arange(s, e), 8))) for c in batch.columns[:-1]]
+                layers = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(table[there].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.tile(np.arange(8, dtype=np.int32), e - s)), pa.array(table.sum(1)), layers], names=[*keys, "bit", "total", "layers"])
+
+    return df.mapInArrow(run, schema)
 
 
 def primary_bit(totals: DataFrame, *keys: str) -> DataFrame:
