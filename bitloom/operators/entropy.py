@@ -179,6 +179,23 @@ def order0_of(aligned: DataFrame, *keys: str) -> DataFrame:
     return sums.select(*keys, "bit", "n", "flag_count", (F.log2(F.col("n").cast("double")) - F.col("s") / F.col("n")).alias("aligned_h"))
 
 
+def net_shares(table: np.ndarray, flags: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """net_pct of bit_table: a row for each blob, a column for each bit. table: a row of 256 counts for each blob;
+    flags: a row for each bit; n: the blobs' bytes."""
+    log = np.log2(n)
+    h = lambda counts: log - (counts * np.log2(np.maximum(counts, 1))).sum(1) / n
+    bits, out, values = n * h(table), np.zeros((len(n), 8)), np.arange(256)
+    for bit in range(8):
+        low = values[values >> bit & 1 == 0]
+        p = flags[bit] / n
+        mixed = (p > 0) & (p < 1)
+        q = np.where(mixed, p, 0.5)
+        coin = np.where(mixed, -q * np.log2(q) - (1 - q) * np.log2(1 - q), 0.0)
+        net = n * h(table[:, low] + table[:, low | 1 << bit]) + n * coin - bits
+        out[:, bit] = np.divide(100 * net, bits, out=np.zeros(len(n)), where=bits != 0)
+    return out
+
+
 def best_bit(table: DataFrame, *keys: str) -> DataFrame:
     """keys, best_entropy_bit, best_entropy_pct: least net share (rounded to 6 places), ties to the lowest bit."""
     keys = keys or ("source_id",)

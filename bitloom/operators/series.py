@@ -59,8 +59,12 @@ def fingerprint(layers: DataFrame, planes: DataFrame, uniform: DataFrame, *keys:
     depth = layers.groupBy(*keys).agg(F.count("*").alias("halt_depth"), F.max(F.when(F.col("depth") == 0, F.col("odd_ratio"))).alias("l0_odd_ratio"))
     flat = planes.groupBy(*keys).agg(F.stddev_pop(F.col("flags") / F.col("n")).alias("stddev"))
     df = depth.join(flat, list(keys)).join(uniform, list(keys))
-    cls = F.when(F.col("all_zero"), "Zero").when(F.col("all_same"), "Uniform").when((F.col("halt_depth") > DEEP) & (F.col("stddev") < 0.02), "Uniform noise / encrypted").when(F.col("halt_depth") <= SHALLOW, "Gradient").otherwise("Structured")
-    return df.select(*keys, cls.alias("cls"), "halt_depth", "l0_odd_ratio", "stddev")
+    return df.select(*keys, class_of().alias("cls"), "halt_depth", "l0_odd_ratio", "stddev")
+
+
+def class_of() -> Column:
+    """The class by the rules of fingerprint, from all_zero, all_same, halt_depth and stddev."""
+    return F.when(F.col("all_zero"), "Zero").when(F.col("all_same"), "Uniform").when((F.col("halt_depth") > DEEP) & (F.col("stddev") < 0.02), "Uniform noise / encrypted").when(F.col("halt_depth") <= SHALLOW, "Gradient").otherwise("Structured")
 
 
 def complexity(analysis: DataFrame) -> DataFrame:
@@ -154,13 +158,41 @@ def primary_bit(totals: DataFrame, *keys: str) -> DataFrame:
     return totals.groupBy(*keys).agg(F.min(F.struct("total", "bit"))["bit"].alias("primary_target_bit"))
 
 
+#: What is measured in each chunk's bytes; net has the share of each bit in entropy.bit_table.
+MEASURED = "halt_depth long, l0_odd_ratio double, stddev double, all_zero boolean, all_same boolean, primary_target_bit int, net array<double>"
+
+
+def measured(blobs: list[np.ndarray]) -> list[pa.Array]:
+    """The columns of MEASURED, a row for each blob; an empty one has nulls."""
+    n = np.array([len(b) for b in blobs], np.int64)
+    table, swept, some = planes.counted(blobs), [parity(blobs, b) for b in range(8)], np.maximum(n, 1)
+    flags = np.array([sizes[1] if len(sizes) > 1 else 0 * n for sizes in swept])
+    # Layers start from the bytes, and the next one is where they are odd: bit 0's flags.
+    columns = [(swept[0] > 0).sum(0), flags[0] / some, (flags / some).std(0), table[:, 0] == n, table.max(1) == n]
+    columns.append(np.argmin([sizes[1:].sum(0) for sizes in swept], 0).astype(np.int32))
+    net = entropy.net_shares(table, flags, some)
+    none = n == 0
+    return [*(pa.array(c, mask=none) for c in columns), pa.ListArray.from_arrays(pa.array(np.arange(0, net.size + 1, 8, dtype=np.int32)), pa.array(net.ravel()), mask=pa.array(none))]
+
+
 def analysed(chunks: DataFrame) -> DataFrame:
-    """source_id, index, offset, size, data and the timeline's columns of each chunk: the whole analysis in one plan."""
-    keys = ["source_id", "index"]
-    hist = planes.histogram(chunks, *keys)
-    print_ = fingerprint(decay(chunks, *keys), planes.popcounts(hist, *keys), planes.uniformity(hist, *keys), *keys)
-    best = entropy.best_bit(entropy.bit_table(hist, *keys), *keys)
-    return chunks.join(print_, keys, "left").join(primary_bit(sweep_totals(chunks, *keys), *keys), keys, "left").join(best, keys, "left")
+    """source_id, index, offset, size, data and the timeline's columns of each chunk: the whole analysis in one pass.
+
+    Each row is analysed by itself, without a shuffle: also rows without a source and rows of equal keys. Chunks
+    without bytes have nulls.
+    """
+    schema, at = chunks.schema, chunks.columns.index("data")
+    out = StructType([*schema.fields, *StructType.fromDDL(MEASURED).fields])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            data = [np.frombuffer(x or b"", np.uint8) for x in batch.column(at).to_pylist()]
+            for s, e in planes.spans(np.array([len(x) for x in data], np.int64)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(s, e - s).columns, *measured(data[s:e])], names=out.names)
+
+    df = chunks.mapInArrow(run, out).withColumn("best", F.array_min(F.transform("net", lambda p, bit: F.struct(F.round(p, 6).alias("p"), bit.alias("bit")))))
+    cls = F.when(F.col("halt_depth").isNotNull(), class_of())
+    return df.select(*schema.names, cls.alias("cls"), "halt_depth", "l0_odd_ratio", "stddev", "primary_target_bit", F.col("best.bit").alias("best_entropy_bit"), F.col("best.p").alias("best_entropy_pct"))
 
 
 def frame_log(line: DataFrame) -> DataFrame:

@@ -220,6 +220,23 @@ def test_sweep_totals_of_large_blobs(spark):
     assert got == want
 
 
+def test_analysis_in_one_pass(spark, edge):
+    """As the operators on layers, planes and values have it, but each row by itself and without a shuffle."""
+    keys = ["source_id", "index"]
+    chunks = chunking.fixed(edge, 700)
+    hist = planes.histogram(chunks, *keys)
+    want = series.fingerprint(series.decay(chunks, *keys), planes.popcounts(hist, *keys), planes.uniformity(hist, *keys), *keys)
+    want = want.join(series.primary_bit(series.sweep_totals(chunks, *keys), *keys), keys).join(entropy.best_bit(entropy.bit_table(hist, *keys), *keys), keys)
+    plain = lambda df: {tuple(r)[:2]: [round(v, 9) if isinstance(v, float) else v for v in r[2:]] for r in df.collect()}
+    df = series.analysed(chunks)
+    assert plain(df.drop("offset", "size", "data")) == plain(want) != {}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "aggregate(" not in plan
+    odd = series.analysed(chunks.limit(0).union(spark.createDataFrame([(n, 0, 0, len(d), bytearray(d)) for n, d in ((None, b"a text"), ("x", b"aa"), ("x", bytes(3)), ("no", b""))], chunks.schema)))
+    assert sorted((str(r.source_id), str(r.cls), r["size"]) for r in odd.collect()) == [("None", "Gradient", 6), ("no", "None", 0), ("x", "Uniform", 2), ("x", "Zero", 3)]
+    assert [r.cls for r in series.complexity(odd.where("size = 0")).collect()] == ["unknown"]
+
+
 def test_profile_of_a_plane(spark):
     data = bytes([1, 0, 0, 1, 1, 0, 0, 0, 1])
     df = spark.createDataFrame([("s", bytearray(data)), ("none", bytearray(4))], "source_id string, data binary")
