@@ -237,6 +237,19 @@ def test_analysis_in_one_pass(spark, edge):
     assert [r.cls for r in series.complexity(odd.where("size = 0")).collect()] == ["unknown"]
 
 
+def test_frame_log_of_every_chunk(spark):
+    """Also of chunks without a source, and without a shuffle."""
+    chunks = chunking.fixed(spark.createDataFrame([(None, bytearray(b"aaa")), ("x", bytearray(5))], "source_id string, data binary"), 4)
+    log = series.frame_log(series.complexity(series.analysed(chunks)))
+    assert "Exchange" not in log._jdf.queryExecution().executedPlan().toString()
+    heads = {(r.source_id, r["index"]): [line.strip() for line in r.value.split("\n")][:2] for r in log.collect()}
+    assert heads == {
+        (None, 0): ["chunk 000000  offset 0  size 3", "class Uniform  halt depth 4  odd ratio 1.0000"],
+        ("x", 0): ["chunk 000000  offset 0  size 4", "class Zero  halt depth 1  odd ratio 0.0000"],
+        ("x", 1): ["chunk 000001  offset 4  size 1", "class Zero  halt depth 1  odd ratio 0.0000"],
+    }
+
+
 def test_profile_of_a_plane(spark):
     data = bytes([1, 0, 0, 1, 1, 0, 0, 0, 1])
     df = spark.createDataFrame([("s", bytearray(data)), ("none", bytearray(4))], "source_id string, data binary")
