@@ -183,15 +183,18 @@ def net_shares(table: np.ndarray, flags: np.ndarray, n: np.ndarray) -> np.ndarra
     """net_pct of bit_table: a row for each blob, a column for each bit. table: a row of 256 counts for each blob;
     flags: a row for each bit; n: the blobs' bytes."""
     log = np.log2(n)
-    h = lambda counts: log - (counts * np.log2(np.maximum(counts, 1))).sum(1) / n
-    bits, out, values = n * h(table), np.zeros((len(n), 8)), np.arange(256)
+    terms = lambda counts: counts * np.log2(np.maximum(counts, 1))
+    # Of small blobs there are fewer counts than cells, so each count's term is worked out once.
+    known = terms(np.arange(n.max(initial=0) + 1)) if n.max(initial=0) < table.size else None
+    h = lambda counts: log - (terms(counts) if known is None else known[counts]).sum(1) / n
+    bits, out = n * h(table), np.zeros((len(n), 8))
     for bit in range(8):
-        low = values[values >> bit & 1 == 0]
+        pairs = table.reshape(len(n), -1, 2, 1 << bit)
         p = flags[bit] / n
         mixed = (p > 0) & (p < 1)
         q = np.where(mixed, p, 0.5)
         coin = np.where(mixed, -q * np.log2(q) - (1 - q) * np.log2(1 - q), 0.0)
-        net = n * h(table[:, low] + table[:, low | 1 << bit]) + n * coin - bits
+        net = n * h((pairs[:, :, 0] + pairs[:, :, 1]).reshape(len(n), 128)) + n * coin - bits
         out[:, bit] = np.divide(100 * net, bits, out=np.zeros(len(n)), where=bits != 0)
     return out
 

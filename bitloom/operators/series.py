@@ -96,35 +96,60 @@ def summary(series: DataFrame, *keys: str) -> DataFrame:
     return main.join(dist("cls", "class_distribution"), list(keys)).join(dist("primary_target_bit", "bit_distribution"), list(keys))
 
 
-def parity(blobs: list[np.ndarray], bit: int) -> np.ndarray:
-    """A row for each depth, a column for each blob: how many bytes it has, how many of them are flagged, and how many
-    entries each next layer has: the indices of the odd entries of the one before. The last row has a count above 0.
+def bit_planes(data: np.ndarray) -> np.ndarray:
+    """The eight planes of the bytes of whole words, one after the other: 64 positions a word, the first lowest."""
+    u = np.uint64
+    ones, gather = u(0x0101010101010101), u(0x0102040810204080)
+    return np.concatenate([((((data >> u(bit)) & ones) * gather) >> u(56)).astype(np.uint8).view("<u8") for bit in range(8)])
 
-    A layer is a filter and a row number, so a blob that is alone is read in pieces of STEP bytes: an entry's index is
-    its place in the piece plus the entries of its layer before the piece. Only whether it is odd matters, so its lowest
-    byte is enough.
-    """
-    sizes: list[np.ndarray] = []
 
-    def add(data: np.ndarray, bounds: np.ndarray) -> None:
-        odd, depth = ((data >> bit) & 1).view(bool), 0
-        while bounds[-1]:
+def parities(blobs: list[np.ndarray]) -> np.ndarray:
+    """How many entries each layer has: by depth, bit and blob. Layer 0 are the flags of a bit; each next layer is the
+    indices of the odd entries of the one before. There is always a layer 0; the last of several has an entry.
+
+    A layer is a subset of the positions, 64 to a word. An entry goes on to the next layer if an odd number of entries
+    of the layer before stands in front of it, which is the parity of a prefix. A blob that is alone is read in pieces
+    of STEP bytes: what stands before a piece is the size of the layer so far. Planes that have ended are left out.
+    """
+    u, sizes = np.uint64, [np.zeros(8 * len(blobs), np.int64)]
+
+    def add(pieces: list[np.ndarray]) -> None:
+        words = np.array([max(1, -(-len(x) // 64)) for x in pieces])
+        data = np.zeros(64 * int(words.sum()), np.uint8)
+        for s, x in zip((64 * (np.cumsum(words) - words)).tolist(), pieces):
+            data[s : s + len(x)] = x
+        here = bit_planes(data.view("<u8"))
+        # An entry of layer 0 goes on if its position is odd.
+        odd, at, words, depth = np.full_like(here, 0xAAAAAAAAAAAAAAAA), np.arange(8 * len(pieces)), np.tile(words, 8), 0
+        while True:
+            n, ends = np.bitwise_count(here), np.cumsum(words)
+            before = np.cumsum(n, dtype=np.uint32)
+            size = np.diff(before[ends - 1].astype(np.int64), prepend=0)
+            live = size > 0
+            if not live.any():
+                return
             if depth == len(sizes):
-                sizes.append(np.zeros(len(blobs), np.int64))
-            here = np.flatnonzero(odd)
-            inner = np.searchsorted(here, bounds)
-            shift = (bounds[:-1] - sizes[depth]).astype(np.uint8)
-            odd = ((here.astype(np.uint8) - np.repeat(shift, np.diff(inner))) & 1).view(bool)
-            sizes[depth] += np.diff(bounds)
-            bounds, depth = inner, depth + 1
+                sizes.append(np.zeros(8 * len(blobs), np.int64))
+            before -= n
+            before ^= np.repeat(before[ends - words] ^ (sizes[depth][at] & 1).astype(np.uint32), words)
+            before &= np.uint32(1)
+            sizes[depth][at] += size
+            if 2 * np.count_nonzero(live) < len(live):
+                keep = np.repeat(live, words)
+                here, odd, before, words, at = here[keep], odd[keep], before[keep], words[live], at[live]
+            there = here & odd
+            np.left_shift(here, u(1), out=odd)
+            odd |= before
+            for k in (1, 2, 4, 8, 16, 32):
+                odd ^= np.left_shift(odd, u(k), out=here)
+            here, depth = there, depth + 1
 
     if len(blobs) == 1:
         for i in range(0, len(blobs[0]), planes.STEP):
-            piece = blobs[0][i : i + planes.STEP]
-            add(piece, np.array([0, len(piece)]))
+            add([blobs[0][i : i + planes.STEP]])
     else:
-        add(np.concatenate(blobs), np.concatenate([[0], np.cumsum([len(b) for b in blobs])]))
-    return np.array(sizes, np.int64).reshape(-1, len(blobs))
+        add(blobs)
+    return np.array(sizes).reshape(-1, 8, len(blobs))
 
 
 def sweep_totals(blobs: DataFrame, *keys: str) -> DataFrame:
@@ -138,11 +163,7 @@ def sweep_totals(blobs: DataFrame, *keys: str) -> DataFrame:
         for batch in it:
             data = [np.frombuffer(x, np.uint8) for x in batch.column(len(keys)).to_pylist()]
             for s, e in planes.spans(np.array([len(x) for x in data], np.int64)):
-                swept = [parity(data[s:e], b)[1:] for b in range(8)]
-                table = np.zeros((e - s, 8, max(1, *map(len, swept))), np.int64)
-                for b, sizes in enumerate(swept):
-                    table[:, b, : len(sizes)] = sizes.T
-                table = table.reshape(8 * (e - s), -1)
+                table = parities(data[s:e]).transpose(2, 1, 0).reshape(8 * (e - s), -1)
                 there = table > 0
                 there[:, 0] = True
                 ends = np.concatenate([[0], np.cumsum(there.sum(1))])
@@ -165,11 +186,11 @@ MEASURED = "halt_depth long, l0_odd_ratio double, stddev double, all_zero boolea
 def measured(blobs: list[np.ndarray]) -> list[pa.Array]:
     """The columns of MEASURED, a row for each blob; an empty one has nulls."""
     n = np.array([len(b) for b in blobs], np.int64)
-    table, swept, some = planes.counted(blobs), [parity(blobs, b) for b in range(8)], np.maximum(n, 1)
-    flags = np.array([sizes[1] if len(sizes) > 1 else 0 * n for sizes in swept])
+    table, swept, some = planes.counted(blobs), parities(blobs), np.maximum(n, 1)
+    flags = swept[0]
     # Layers start from the bytes, and the next one is where they are odd: bit 0's flags.
-    columns = [(swept[0] > 0).sum(0), flags[0] / some, (flags / some).std(0), table[:, 0] == n, table.max(1) == n]
-    columns.append(np.argmin([sizes[1:].sum(0) for sizes in swept], 0).astype(np.int32))
+    columns = [1 + (swept[:, 0] > 0).sum(0), flags[0] / some, (flags / some).std(0), table[:, 0] == n, table.max(1) == n]
+    columns.append(np.argmin(swept.sum(0), 0).astype(np.int32))
     net = entropy.net_shares(table, flags, some)
     none = n == 0
     return [*(pa.array(c, mask=none) for c in columns), pa.ListArray.from_arrays(pa.array(np.arange(0, net.size + 1, 8, dtype=np.int32)), pa.array(net.ravel()), mask=pa.array(none))]

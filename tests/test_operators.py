@@ -220,6 +220,41 @@ def test_sweep_totals_of_large_blobs(spark):
     assert got == want
 
 
+def layers_as_lists(blobs, bit):
+    """Sizes of a bit's layers by depth and blob, each layer as a list of indices."""
+    sizes, odd, bounds = [], (np.concatenate(blobs) >> bit & 1).view(bool), np.cumsum([0, *map(len, blobs)])
+    while len(here := np.flatnonzero(odd)):
+        inner = np.searchsorted(here, bounds)
+        sizes.append(np.diff(inner))
+        odd, bounds = ((here - np.repeat(bounds[:-1], np.diff(inner))) & 1).view(np.uint8)[::8].view(bool), inner
+    return sizes
+
+
+def test_analysis_takes_less_time_than_listing_layers():
+    """Of all that is measured in chunks, the layers took most time: as lists of indices they alone take longer than the
+    whole analysis of words of 64 positions."""
+    r = np.random.default_rng(4)
+    short = [r.integers(0, 256, r.integers(0, 200), dtype=np.uint8) & np.uint8(r.integers(0, 256)) for _ in range(500)]
+    text = np.frombuffer(b" ".join(r.choice([b"the", b"layers", b"of", b"any", b"text", b"are", b"short", "zählt".encode()], 90_000)), np.uint8)
+    chunks = [text[i : i + 2048] for i in range(0, len(text), 2048)]
+    for blobs in short, chunks:
+        want = [layers_as_lists(blobs, bit) for bit in range(8)]
+        got = [c.to_pylist() for c in series.measured(blobs)]
+        depth, bit = sum((n > 0).astype(int) for n in want[0]), np.argmin([sum(w, np.zeros(len(blobs))) for w in want], 0)
+        assert [(got[0][i], got[5][i]) for i, x in enumerate(blobs) if len(x)] == [(1 + depth[i], bit[i]) for i, x in enumerate(blobs) if len(x)]
+        assert all(c[i] is None for c in got for i, x in enumerate(blobs) if not len(x))
+
+    def least(f):
+        took = []
+        for _ in range(7):
+            start = time.process_time()
+            f()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert least(lambda: series.measured(chunks)) < least(lambda: [layers_as_lists(chunks, bit) for bit in range(8)])
+
+
 def test_analysis_in_one_pass(spark, edge):
     """As the operators on layers, planes and values have it, but each row by itself and without a shuffle."""
     keys = ["source_id", "index"]
