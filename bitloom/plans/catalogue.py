@@ -517,7 +517,7 @@ def sweep_totals(spark, sf_dir):
 @query()
 def complexity_series(spark, sf_dir):
     """The whole analysis of chunks: fingerprint, target bits and entropies."""
-    return series.complexity(series.analysed(chunking.fixed(blobs.documents(spark, sf_dir), CHUNK)))
+    return series.complexity(series.analysed(chunking.fixed(blobs.documents(spark, sf_dir, even=True), CHUNK)))
 
 
 @query()

@@ -15,8 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+def documents(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
+    """Texts; `even`: spread over the cores."""
+    df = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return texts(spread(df) if even else df, "doc_id", "text")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows. A file is split by its row groups at most: where the largest split has more than three times its
+    share of the rows for all cores, rows are dealt over four splits a core by the hash of all their columns. Counting the
+    rows of splits reads no column.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rows = df.groupBy(F.spark_partition_id().alias("split")).count().agg(F.max("count"), F.sum("count")).first()
+    return df.repartition(4 * cores, *df.columns) if rows[1] and rows[0] * cores > 3 * rows[1] else df
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

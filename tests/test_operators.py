@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bitloom.functions import codecs
 from bitloom.operators import chunking, coding, entropy, planes, positions, race, series
+from bitloom.plans import catalogue
 from bitloom.sources import blobs, generators
 from bitloom.streaming import chunks as streaming
 
@@ -285,6 +286,22 @@ def test_frame_log_of_every_chunk(spark):
     }
 
 
+def test_rows_of_one_split_are_spread(spark, tmp_path):
+    """One row group was one task, however many cores there are. Equal keys, and rows without one, are dealt too."""
+    rows = [(None if i % 3 else 7, f"text {i}") for i in range(400)] + [(None, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    split = F.spark_partition_id().alias("split")
+    dealt = blobs.documents(spark, str(tmp_path), even=True)
+    assert max(r["count"] for r in dealt.groupBy(split).count().collect()) < 100
+    plain = lambda df: Counter((r.source_id, bytes(r.data)) for r in df.collect())
+    assert plain(dealt) == plain(blobs.documents(spark, str(tmp_path))) and sum(plain(dealt).values()) == 402
+    log = catalogue.frame_log(spark, str(tmp_path))
+    assert len({r.split for r in log.select(split).collect()}) > 3 and log.count() == 400
+    whole = df.repartition(4)
+    assert blobs.spread(whole) is whole and blobs.spread(df.limit(0)).count() == 0
+
+
 def test_profile_of_a_plane(spark):
     data = bytes([1, 0, 0, 1, 1, 0, 0, 0, 1])
     df = spark.createDataFrame([("s", bytearray(data)), ("none", bytearray(4))], "source_id string, data binary")
