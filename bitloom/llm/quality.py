@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitloom.llm.common import fresh, held_out
+from bitloom.llm.common import fresh, held_out, in_batches
 from bitloom.llm.near_dedup import encoded
 from bitloom.llm.rolling import Roller, Words, batches
 from bitloom.llm.sampling import labelled
@@ -170,7 +170,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             got = [shared.value.scores(texts[s:e], roller) for s, e in batches([len(t) for t in texts])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*got, np.zeros(0)]))], names=[f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:

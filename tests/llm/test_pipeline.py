@@ -6,9 +6,10 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
-from bitloom.llm import decontaminate, mixing, quality, sharding
+from bitloom.llm import decontaminate, mixing, near_dedup, quality, sharding
 from bitloom.llm.common import stored, table
 
 from .test_exact import TERMS, WORDS, low
@@ -117,3 +118,19 @@ def test_rewriting_only_changed_shards(spark, tmp_path):
 
 def test_stage_modules_import_nothing_private():
     assert not re.search("localCheckpoint", "".join(open(m.__file__).read() for m in (decontaminate, mixing, quality, sharding, corpus_pipeline)))
+
+
+def sizes(it):
+    """Rows and bytes of each batch, in the first two columns of a sketch."""
+    for b in it:
+        yield pa.RecordBatch.from_pylist([{"doc_id": b.num_rows, "n_shingles": b.nbytes, "same1": 0, "same2": 0, "sig": b"", "keys": []}], pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same1", pa.int64()), ("same2", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))]))
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(near_dedup, "sketch_batches", sizes)
+    docs = spark.range(0, 8000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 700).alias("text"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = near_dedup.sketches(docs).collect()
+    assert sum(r.doc_id for r in got) == 8000 and max(r.n_shingles for r in got) <= 4 << 20
