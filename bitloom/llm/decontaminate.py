@@ -28,9 +28,17 @@ SLOP = 3
 BROADCAST = 8 << 20
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if its stored files are no more than BROADCAST bytes."""
-    return F.broadcast(df) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST else df
+def bounded(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """df marked for broadcast if its stored files, or those of the table `of` that it has some rows and columns of, are
+    no more than BROADCAST bytes."""
+    size = (df if of is None else of)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(size)) <= BROADCAST else df
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df in no more partitions than there are cores. Tables of the test items are stored so: they are small, but would
+    make a file for each shuffle partition, and for files on a local disk executors start chmod processes."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def tokens(text: Column) -> Column:
@@ -66,10 +74,10 @@ def postings(docs: DataFrame, words: DataFrame) -> DataFrame:
 
 def lists(wins: DataFrame, words: DataFrame, post: DataFrame) -> DataFrame:
     """win, item_id, len, by: each window's (n, off, term), rarest first; windows with a term that no document has are gone."""
-    counts = stored(post.where("term > 0").groupBy("term").agg(F.count("*").alias("n")), "counts")
-    terms = wins.select("item_id", "win", "len", F.posexplode("win").alias("off", "word")).join(words, "word").join(counts, "term")
+    counts = post.where("term > 0").groupBy("term").agg(F.count("*").alias("n"))
+    terms = wins.select("item_id", "win", "len", F.posexplode("win").alias("off", "word")).join(bounded(words), "word").join(bounded(counts, words), "term")
     by = terms.groupBy("item_id", "win", "len").agg(F.sort_array(F.collect_list(F.struct("n", "off", "term"))).alias("by")).where(F.size("by") == F.col("len"))
-    return stored(by.select(F.xxhash64("item_id", "win").alias("id"), F.xxhash64("win", F.lit(3), "item_id").alias("id2"), "item_id", "len", "by"), "lists")
+    return stored(few(by.select(F.xxhash64("item_id", "win").alias("id"), F.xxhash64("win", F.lit(3), "item_id").alias("id2"), "item_id", "len", "by")), "lists")
 
 
 def near(post: DataFrame, low: Column, high: Column, width: int) -> tuple[DataFrame, Column]:
@@ -78,7 +86,7 @@ def near(post: DataFrame, low: Column, high: Column, width: int) -> tuple[DataFr
     return post.withColumn("slot", slot(F.col("pos"))).select("term", *KEY, "slot", "pos"), F.explode(F.sequence(slot(low), slot(high)))
 
 
-def intersected(post: DataFrame, by: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
+def intersected(post: DataFrame, by: DataFrame, words: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
     """k1, k2, id, id2, item_id, len, start, exact: the windows' matches; with slop 0 the exact ones only.
 
     Each join is by equality on document, term and place: the position itself, or a slot of as many positions as a
@@ -90,7 +98,7 @@ def intersected(post: DataFrame, by: DataFrame, size: int = WINDOW, slop: int =
     start = F.col("pos") - F.col("off0")
     first = word.join(bounded(best), F.col("term") == F.col("term0")).select(*KEY, *mine, start.alias("start"), "term1", "off1")
     wanted = by.select(F.explode("by.term").alias("term"))
-    second = word.join(bounded(stored(best.select(F.col("term1").alias("term")).distinct(), "seconds")), "term", "left_semi")
+    second = word.join(bounded(best.select(F.col("term1").alias("term")).distinct(), words), "term", "left_semi")
     reach = F.col("start") - slop, F.col("start") + F.col("len") - 1 + slop
     if slop:
         placed, slots = near(second, *reach, size + 2 * slop)
@@ -98,7 +106,7 @@ def intersected(post: DataFrame, by: DataFrame, size: int = WINDOW, slop: int =
     else:
         cand = first.where("start >= 1").withColumn("pos", F.col("start") + F.col("off1")).join(second.withColumnRenamed("term", "term1"), [*KEY, "term1", "pos"], "left_semi")
     cand = stored(cand.select(*KEY, *mine, "start").distinct(), "starts")
-    rest = likely(word, "k1", cand.select("k1")).join(bounded(stored(wanted.distinct(), "terms")), "term", "left_semi")
+    rest = likely(word, "k1", cand.select("k1")).join(bounded(wanted.distinct(), words), "term", "left_semi")
     need = cand.join(by.select("id", "id2", F.explode("by").alias("b")), ["id", "id2"]).select(*KEY, *mine, "start", "b.off", "b.term")
     if slop:
         placed, slots = near(rest, *reach, size + 2 * slop)
@@ -111,14 +119,14 @@ def intersected(post: DataFrame, by: DataFrame, size: int = WINDOW, slop: int =
     return full.select(*KEY, *mine, "start", (F.col("m") == F.col("len")).alias("exact")).join(by.select("id", "id2", "item_id"), ["id", "id2"])
 
 
-def index(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The postings of docs for the words of items, and the items' windows by rarest term."""
-    wins = stored(windows(items, size), "windows")
-    each = wins.select(F.explode("win").alias("word")).distinct().select("word", (F.monotonically_increasing_id() + 1).alias("term"))
-    none = docs.sparkSession.createDataFrame([("", 0)], "word string, term long")
+def index(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The postings of docs for the words of items, the items' windows by rarest term, and the words with their terms."""
+    wins = stored(few(windows(items, size)), "windows")
+    each = few(wins.select(F.explode("win").alias("word")).distinct()).select("word", (F.monotonically_increasing_id() + 1).alias("term"))
+    none = docs.sparkSession.range(1).select(F.lit("").alias("word"), F.col("id").alias("term"))
     words = stored(each.union(none), "words")
     post = postings(docs, words)
-    return post, lists(wins, words, post)
+    return post, lists(wins, words, post), words
 
 
 def heads(post: DataFrame) -> DataFrame:
@@ -132,8 +140,8 @@ def occurrences(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int
     rarest word. Starts count words from 1. Null texts and items have no words; rows of one doc_id and text each have
     their own matches; empty tables match nothing. Very long texts are indexed whole. Other columns are not read.
     """
-    post, by = index(docs, items, size)
-    return intersected(post, by, size, slop).join(heads(post), [*KEY]).select("doc_id", "start", "len", "item_id", "exact")
+    post, by, words = index(docs, items, size)
+    return intersected(post, by, words, size, slop).join(heads(post), [*KEY]).select("doc_id", "start", "len", "item_id", "exact")
 
 
 def contamination(docs: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame:
@@ -145,15 +153,15 @@ def contamination(docs: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame
     ones included. Null texts have no words; null or empty tables and items without words hit nothing; repeated rows of
     docs stay apart. Very long texts are indexed whole. Other columns are not read.
     """
-    post, by = index(docs, items)
-    hits = intersected(post, by, WINDOW, slop)
+    post, by, words = index(docs, items)
+    hits = intersected(post, by, words, WINDOW, slop)
     before = Window.partitionBy(*KEY).orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("len")
     exact = hits.where("exact").select(*KEY, "start", "len").distinct()
     spans = exact.withColumn("new", F.greatest(F.lit(0), end - F.greatest("start", F.coalesce(F.max(end).over(before), F.lit(0)))))
     hit = spans.groupBy(*KEY).agg(F.sum("new").alias("n_hit"))
     of = hits.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("items"), F.count_distinct("item_id").alias("n_near"))
-    df = heads(post).join(stored(of.join(hit, [*KEY], "left"), "hits"), [*KEY], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    df = heads(post).join(of.join(hit, [*KEY], "left"), [*KEY], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return df.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.size("items") > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
 

@@ -175,6 +175,32 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert table(decontaminate.report(docs, bench).drop("n_near")) == want
 
 
+def test_decontamination_stores_few_files(spark, docs, monkeypatch):
+    """Tables of the test items take a file for each core at most, however many shuffle partitions hold them."""
+    items = [(i, prose(100 + i, 60, 5000)) for i in range(20)] + [(30, prose(2, 60)), (31, prose(3, 49))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want, files = table(decontaminate.report(docs, bench)), {}
+
+    def counted(df, label, store=decontaminate.stored):
+        out = store(df, label)
+        files[label] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(decontaminate, "stored", counted)
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert table(decontaminate.report(docs, bench)) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r[0] for r in want if r[-2]} >= {12, 16, 17}
+    cores = spark.sparkContext.defaultParallelism
+    assert all(n <= cores + 1 for label, n in files.items() if label not in ("postings", "starts")), files
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "gamma beta alpha"), (3, "alpha beta"), (4, "alpha " + "x " * 9 + "beta gamma")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
